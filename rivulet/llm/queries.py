@@ -35,6 +35,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_documents(spark, folder, manifest)
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pages
+
+    return pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -42,6 +48,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import phrases
+
+    return phrases.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -54,6 +66,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    return decontam.find(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,7 +80,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_secret_scan, op3_token_files, op5_simhash, op7_quality, op8_pii, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_secret_scan, op3_token_files, op4_main_text, op5_simhash, op6_repeated_passages, op7_quality, op8_pii, op9_decontamination, op10_bpe)}
 
 _OP1_SQL = r"""
 WITH rows AS (
@@ -80,4 +98,16 @@ SELECT conv_id, count(*) AS n_turns,
 FROM written GROUP BY conv_id
 """
 
-ORACLE = {"op1_chat_formatting": _OP1_SQL}
+_OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM d, unnest(range(1, len(w) - 11)) AS t(i)),
+shared AS (SELECT s, min(doc_id) AS least FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM win JOIN shared USING (s), range(0, 13) AS r(k) WHERE least < doc_id),
+word AS (SELECT doc_id, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""
+
+ORACLE = {"op6_repeated_passages": _OP6_SQL, "op1_chat_formatting": _OP1_SQL}
