@@ -1,0 +1 @@
+"""Intentionally empty: every operator here is a batch operator over files and fact tables."""
