@@ -158,7 +158,7 @@ class Automaton:
         return total / max(1, len(x))
 
     def accepts(self, x: str) -> bool:
-        return self.sizes[0] * 0.8 <= len(x) <= self.sizes[1] * 1.25 and x.startswith(self.prefix) and self.score(x) >= self.level
+        return self.sizes[0] - 2 <= len(x) <= self.sizes[1] + 2 and x.startswith(self.prefix) and self.score(x) >= self.level
 
 
 def _common_prefix(xs: list[str]) -> str:

@@ -297,15 +297,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(df: DataFrame, k: int, budget: int, id_col: str = "doc_id", text_col: str = "text", seeds: int = 1, most_all: float | None = None) -> DataFrame:
-    """``doc_id, h, fp, component_id`` for every row; rows that share ``f0`` are one class."""
+    """``doc_id, h, fp, root, component_id`` for every row; rows that share ``f0`` are one class, ``root`` tells components apart."""
     prints = cut(fingerprints(df, k, id_col, text_col, seeds), "prints")
     names = [f"f{s}" for s in range(seeds)]
     classes = cut(prints.groupBy("f0").agg(F.min("doc_id").alias("least"), *(F.min(f).alias(f) for f in names[1:])), "classes")
     found = components(links(classes, budget, classes.count(), most_all))
     rooted = classes.join(found, classes.f0 == found.fp, "left").select("f0", "least", F.coalesce("root", "f0").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("f0", "component_id")
-    return prints.select("doc_id", "h", "f0").join(named, "f0").select("doc_id", "h", F.col("f0").alias("fp"), "component_id")
+    named = rooted.join(ids, "root").select("f0", "root", "component_id")
+    return prints.select("doc_id", "h", "f0").join(named, "f0").select("doc_id", "h", F.col("f0").alias("fp"), "root", "component_id")
 
 
 def keep_first(df: DataFrame, k: int = 5, budget: int = 7, seeds: int = 4, most_all: float = 0.16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,12 +313,10 @@ def keep_first(df: DataFrame, k: int = 5, budget: int = 7, seeds: int = 4, most_
 
     Two texts that share a word 5-shingle similarity of 0.8 differ in about 0.15 of the bits.
     """
-    found = cut(groups(df, k, budget, id_col, text_col, seeds, most_all).select("doc_id", "h", "component_id"), "groups")
-    # Rows whose component has an id stay if they have it themselves; of one id's rows in one component the least hash stays.
-    stays = found.groupBy("component_id", "doc_id").agg(F.min("h").alias("m"))
-    marked = found.join(stays.withColumnRenamed("component_id", "c").withColumnRenamed("doc_id", "d"),
-                        F.col("component_id").eqNullSafe(F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("m")), "left")
-    stay = F.col("m").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    found = cut(groups(df, k, budget, id_col, text_col, seeds, most_all).select("doc_id", "h", "root"), "groups")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "h")).alias("first"))
+    marked = found.join(first, "root")
+    stay = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
     gone = marked.where(~stay).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
     again = found.groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"))
     key = F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__h"))
