@@ -13,6 +13,7 @@ are ordered by a hash of the text, then by the text. An empty table gives no sha
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -36,6 +37,7 @@ class Encoder:
     """The library's encoder with a memory of words; a text is cut before every space that a non-space follows."""
 
     def __init__(self, definition: str, dtype: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task: the library's threads would only contend
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(definition)
