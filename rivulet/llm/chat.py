@@ -15,6 +15,7 @@ ordered by role, then text; repeated rows are repeated turns. An empty table giv
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from itertools import groupby
 from pathlib import Path
@@ -65,6 +66,7 @@ def mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
 
 class Formatter:
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import AddedToken, Tokenizer
 
         self.tok = Tokenizer.from_str(definition)
