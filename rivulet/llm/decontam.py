@@ -14,8 +14,9 @@ the greatest weights in blocks of items to skip blocks. Two of its bounds are pu
 passage whose terms' greatest weights sum to less than the threshold has no pivot, and one whose block weights do so for
 each block would have each block skipped. What is retrieved is verified on the words.
 
-The items are read to the driver in blocks of ``ITEMS``, each block its own index and broadcast (a few MB), and all
-documents are put to each index in one pass. Null texts count as empty; empty items match nothing; null ids are kept as
+The items are read to the driver a partition at a time, in blocks of ``ITEMS``; each block is an index, and ``GROUP``
+indexes are one broadcast (some 4,000 items, tens of MB). A larger benchmark makes more groups, and each document is put to
+each of them in turn. Null texts count as empty; empty items match nothing; null ids are kept as
 they are; repeated rows give repeated rows. An empty table gives an empty one. Other columns pass through ``without``
 untouched.
 """
@@ -25,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,8 @@ from .common import id_text, ship, word_hashes
 
 SHINGLE, SHARE = 5, 0.8
 K1, B = 1.2, 0.75
-#: Items in one index, and in one block of a posting list.
-ITEMS, BLOCK = 512, 8
+#: Items in one index, in one block of a posting list, and indexes in one broadcast.
+ITEMS, BLOCK, GROUP = 512, 8, 8
 _SEPARATOR = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _sentences = re.compile(r"(?<=[.!?])\s+")
 
@@ -215,16 +217,22 @@ def _blocks(texts: list[str], chars: int = 1 << 20):
         yield start, len(texts)
 
 
-def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[Index]:
-    """An index for each ``ITEMS`` items, which reach the driver a partition at a time."""
-    out, block = [], []
+def index_groups(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text"):
+    """Lists of up to ``GROUP`` indexes of up to ``ITEMS`` items, which reach the driver a partition at a time."""
+    group, block = [], []
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").distinct()
     for r in rows.sort("i", "t").toLocalIterator():
         block.append((r.i, r.t))
         if len(block) == ITEMS:
-            out.append(Index(block))
+            group.append(Index(block))
             block = []
-    return [*out, Index(block)] if block else out
+            if len(group) == GROUP:
+                yield group
+                group = []
+    if block:
+        group.append(Index(block))
+    if group:
+        yield group
 
 
 def _search_all(many: list[Index], texts: list[str]):
@@ -239,30 +247,39 @@ def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     question_overlap, answer_overlap``."""
     spark = df.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(indexes(benchmark))
     names = ["item_id", "score", "overlap", "question_overlap", "answer_overlap"]
+    schema = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
+    docs = id_text(df, id_col, text_col)
 
-    def run(batches):
-        for b in batches:
-            found = list(_search_all(shared.value, b.column(1).to_pylist()))
-            if found:
-                rows, items, *rest = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(items, pa.int64()), *(pa.array(x, pa.float64()) for x in rest)], ["doc_id", *names])
+    def search(shared):
+        def run(batches):
+            for b in batches:
+                found = list(_search_all(shared.value, b.column(1).to_pylist()))
+                if found:
+                    rows, items, *rest = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(items, pa.int64()), *(pa.array(x, pa.float64()) for x in rest)], ["doc_id", *names])
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
+        return docs.mapInArrow(run, schema)
+
+    parts = [search(spark.sparkContext.broadcast(group)) for group in index_groups(benchmark)]
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
 
 def without(df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that hold no item, as they are."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     ship(spark)
-    shared = spark.sparkContext.broadcast(indexes(benchmark))
     place = df.columns.index(text_col)
 
-    def run(batches):
-        for b in batches:
-            keep = np.ones(b.num_rows, bool)
-            keep[[r for r, *_ in _search_all(shared.value, [x or "" for x in b.column(place).to_pylist()])]] = False
-            yield b.filter(pa.array(keep))
+    def free_of(df, shared):
+        def run(batches):
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                keep[[r for r, *_ in _search_all(shared.value, [x or "" for x in b.column(place).to_pylist()])]] = False
+                yield b.filter(pa.array(keep))
+
+        return df.mapInArrow(run, schema)
 
-    return df.mapInArrow(run, df.schema)
+    for group in index_groups(benchmark):
+        df = free_of(df, spark.sparkContext.broadcast(group))
+    return df

@@ -393,6 +393,16 @@ def test_decontamination_odd_input(spark, edge_docs):
     assert decontam.find(edge_docs, items).count() == 0 and decontam.find(docs, items.limit(0)).count() == 0 and decontam.find(docs.limit(0), items).count() == 0
 
 
+def test_decontamination_in_groups(spark, documents, monkeypatch):
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    whole = multiset((r.doc_id, r.item_id) for r in decontam.find(documents, benchmark).collect())
+    kept = {r.doc_id for r in decontam.without(documents, benchmark).collect()}
+    monkeypatch.setattr(decontam, "ITEMS", 9)
+    monkeypatch.setattr(decontam, "GROUP", 2)
+    assert multiset((r.doc_id, r.item_id) for r in decontam.find(documents, benchmark).collect()) == whole
+    assert {r.doc_id for r in decontam.without(documents, benchmark).collect()} == kept
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abcdefghijkl"), min_size=1, max_size=8), min_size=1, max_size=40), st.sets(st.sampled_from("abcdefghijkl"), min_size=1), st.floats(0.2, 1.5))
 def test_wand_finds_all_above_threshold(items, query, threshold):
