@@ -15,10 +15,9 @@ passage whose terms' greatest weights sum to less than the threshold has no pivo
 each block would have each block skipped. What is retrieved is verified on the words.
 
 The items are read to the driver a partition at a time, in blocks of ``ITEMS``; each block is an index, and ``GROUP``
-indexes are one broadcast (some 4,000 items, tens of MB). A larger benchmark makes more groups, and each document is put to
-each of them in turn. Null texts count as empty; empty items match nothing; null ids are kept as
-they are; repeated rows give repeated rows. An empty table gives an empty one. Other columns pass through ``without``
-untouched.
+indexes are one broadcast (some 4,000 items, tens of MB). A larger benchmark makes more groups, and each document is put
+to each of them in turn. Null texts count as empty; empty items match nothing; null ids are kept as they are; repeated
+rows give repeated rows. An empty table gives an empty one. Other columns pass through ``without`` untouched.
 """
 
 from __future__ import annotations
@@ -39,6 +38,8 @@ SHINGLE, SHARE = 5, 0.8
 K1, B = 1.2, 0.75
 #: Items in one index, in one block of a posting list, and indexes in one broadcast.
 ITEMS, BLOCK, GROUP = 512, 8, 8
+#: The threshold, less what sums in single precision may lack.
+NEARLY = np.float32(0.999)
 _SEPARATOR = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _sentences = re.compile(r"(?<=[.!?])\s+")
 
@@ -78,7 +79,7 @@ class Index:
             own = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean)) for w, f in tf.items()}
             # Each word that is missing takes a different shingle with it at least.
             missing = math.floor((1 - SHARE) * len(all_shingles) + 1e-9) if len(words) >= SHINGLE else 0
-            least = sum(sorted(own.values())[: len(own) - missing])
+            least = sum(sorted(own.values())[: max(1, len(own) - missing)])
             weights.append({w: x / least for w, x in own.items()} if least > 0 else {})
         self.step = max(8, math.ceil(1.25 * max((len(w) for _, w, *_ in self.items), default=0)))
         vocabulary = sorted(df)
@@ -107,11 +108,11 @@ class Index:
         """Which passages (rows of sorted term numbers) some block's bound lets through."""
         twice = passages[:, 1:] == passages[:, :-1]
         passages[:, 1:][twice] = len(self.terms)
-        at = np.flatnonzero(self.term_max[passages].sum(axis=1) >= 1)
+        at = np.flatnonzero(self.term_max[passages].sum(axis=1) >= NEARLY)
         out = []
         for i in range(0, len(at), 256):
             part = at[i : i + 256]
-            out.append(part[(self.block_max[passages[part]].sum(axis=1) >= 1).any(axis=1)])
+            out.append(part[(self.block_max[passages[part]].sum(axis=1) >= NEARLY).any(axis=1)])
         return np.concatenate(out) if out else at
 
     def wand(self, terms: list[int], threshold: float = 1.0) -> list[tuple[int, float]]:
