@@ -77,9 +77,14 @@ class Index:
             for w in words:
                 tf[w] += 1
             own = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean)) for w, f in tf.items()}
-            # Each word that is missing takes a different shingle with it at least.
+            # A word that is missing takes all of its shingles with it, and each missing word at least one of its own.
             missing = math.floor((1 - SHARE) * len(all_shingles) + 1e-9) if len(words) >= SHINGLE else 0
-            least = sum(sorted(own.values())[: max(1, len(own) - missing)])
+            held: dict[bytes, int] = defaultdict(int)
+            for x in all_shingles:
+                for w in set(x):
+                    held[w] += 1
+            may_lack = sorted((x for w, x in own.items() if held[w] <= missing), reverse=True)[:missing]
+            least = sum(own.values()) - sum(may_lack)
             weights.append({w: x / least for w, x in own.items()} if least > 0 else {})
         self.step = max(8, math.ceil(1.25 * max((len(w) for _, w, *_ in self.items), default=0)))
         vocabulary = sorted(df)
