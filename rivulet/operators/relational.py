@@ -48,15 +48,15 @@ def merge_operations(rows: DataFrame, keys: list[str] = IDENTITY) -> DataFrame:
 def keep_first_content(files: DataFrame, text: str, name: str, order: str) -> tuple[DataFrame, DataFrame]:
     """(files kept, files removed with the name of the first): equal after ``normalised``, the least ``order`` first.
 
-    The least is found by an aggregate over hashes alone; texts are not shuffled.
+    The least is found by an aggregate over hashes alone. What goes is taken out by an anti-join on the ordinal, so that
+    texts are shuffled only if the removed files are too many to broadcast.
     """
     keyed = files.withColumn("__h", content_hash(F.col(text)))
     first = keyed.groupBy("__h").agg(F.min(F.struct(order, name)).alias("__first"))
     slim = keyed.select(order, name, "__h", F.length(text).cast("long").alias("size_bytes"))
-    removed = slim.join(first, "__h").where(F.col(order) != F.col(f"__first.{order}"))
-    removed = removed.select(F.col(name).alias("removed_file"), F.col(f"__first.{name}").alias("duplicate_of"), F.lit("Identical query content (normalised SHA-256 match)").alias("reason"), "size_bytes")
-    kept = keyed.join(first.select(F.col(f"__first.{order}").alias(order)), order, "left_semi").drop("__h")
-    return kept, removed
+    gone = slim.join(first, "__h").where(F.col(order) != F.col(f"__first.{order}"))
+    removed = gone.select(F.col(name).alias("removed_file"), F.col(f"__first.{name}").alias("duplicate_of"), F.lit("Identical query content (normalised SHA-256 match)").alias("reason"), "size_bytes")
+    return files.join(gone.select(order), order, "left_anti"), removed
 
 
 def normalised(c: Column) -> Column:

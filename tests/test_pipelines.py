@@ -175,3 +175,17 @@ def test_detection_agrees(spark):
     got = [r.k for r in df.orderBy("i").select(formats.sniff(F.col("v")).alias("k")).collect()]
     assert got == [":".join(formats.detect("noext", x)) for x in texts]
     assert got == ["json:json", "json:json", "xml:xml", "sql:sql", "python:python", "yaml:yaml", "yaml:yaml", "text:unknown", "text:unknown"]
+
+
+def test_command_line(spark, tmp_path):
+    from rivulet.__main__ import main
+
+    (tmp_path / "code").mkdir()
+    (tmp_path / "code" / "a.sql").write_bytes(SQL)
+    (tmp_path / "code" / "r.pbit").write_bytes(PBIT)
+    for job in ("unified", "columns", "tables", "migration", "reports", "e2e"):
+        assert main([job, str(tmp_path / "code"), str(tmp_path / job)]) == 0
+    assert spark.read.parquet(str(tmp_path / "unified" / "column_lineage")).count() == 6
+    (tmp_path / "code" / "bad.py").write_bytes(b"def (")
+    assert main(["columns", str(tmp_path / "code"), str(tmp_path / "again.xlsx"), "--format", "xlsx"]) == 1
+    assert set(files.read_workbook(str(tmp_path / "again.xlsx"))) == {"Column Lineage", "Job Summary"}
