@@ -1,34 +1,20 @@
-"""What the operators of this subpackage share: shipping code, shared storage, splitting words."""
+"""What the operators of this subpackage share: shared storage, columns, splitting words."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE = Path(__file__).resolve().parent.parent
-_shipped: dict[str, str] = {}
-_folders: dict[str, str] = {}
+from ..shipping import ship
 
+__all__ = ["cut", "id_text", "mix", "ngram_hashes", "replace_column", "shared_dir", "ship", "word_hashes"]
 
-def ship(spark: SparkSession) -> None:
-    """Give every executor this package once per application, wherever the driver imported it from."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    target = os.path.join(tempfile.mkdtemp(prefix="rivulet-"), "rivulet_pkg.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(PACKAGE.rglob("*.py")):
-            z.write(p, str(Path("rivulet") / p.relative_to(PACKAGE)))
-    spark.sparkContext.addPyFile(target)
-    _shipped[app] = target
+_folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,12 +40,6 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def arrow_schema(df_schema) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(df_schema)
-
-
 def replace_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     k = batch.schema.get_field_index(name)
     return batch.set_column(k, batch.schema.field(k), values.cast(batch.schema.field(k).type))

@@ -110,4 +110,34 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, s
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 """
 
-ORACLE = {"op6_repeated_passages": _OP6_SQL, "op1_chat_formatting": _OP1_SQL}
+_OP7_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM w, unnest(range(1, len(w) - 6)) AS t(i)),
+twice AS (SELECT doc_id, s FROM win GROUP BY ALL HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM win JOIN twice USING (doc_id, s), range(0, 8) AS r(k) GROUP BY doc_id),
+line AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line FROM d, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(i)),
+judged AS (
+  SELECT doc_id, i, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again FROM line
+), failed AS (
+  SELECT doc_id, len(w) AS n, again,
+    again
+    OR (len(w) <= 25 AND regexp_matches(line, '(?i)all rights reserved|\b(?:licen[sc]ed|released|distributed) under\b|\bcopyright (?:©|\(c\)|\d{4})|\bcookies?\b.*\b(?:accept|policy|consent)|\bprivacy policy\b|\bterms (?:of (?:use|service)|and conditions)\b|\bsubscribe (?:now|to)\b|\bclick here\b|\bsign (?:in|up) (?:to|for|now)\b|\benable javascript\b|\blorem ipsum\b'))
+    OR length(line) - length(replace(line, '|', '')) >= greatest(2, 0.15 * len(w))
+    OR (len(w) >= 3 AND length(line) - length(translate(line, '#*$%&|<>', '')) > 0.6 * len(w))
+    OR (len(w) >= 3 AND (length(line) - length(replace(line, '!!', ''))) / 2 > 0.3 * len(w))
+    OR (len(w) >= 4 AND len(list_filter(w, lambda x: upper(x) = x AND lower(x) <> x)) > 0.6 * len(w))
+    OR (len(w) >= 10 AND len(list_distinct(w)) < 0.35 * len(w) AND (len(list_filter(range(1, len(w)), lambda k: w[k] = w[k + 1])) > 0.3 * len(w) OR len(list_distinct(w)) < 0.1 * len(w)))
+    OR (len(w) > 15 AND NOT regexp_matches(line, '[.!?;:,。！？؟…]')) AS fails
+  FROM judged WHERE len(w) > 0
+), sums AS (
+  SELECT doc_id, count(*) FILTER (WHERE again) AS dup, coalesce(sum(n) FILTER (WHERE NOT fails), 0) AS left_words FROM failed GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(left_words, 0) AS BIGINT) AS kept_words
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN sums USING (doc_id)
+), based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND kept_words >= 0.5 * n_words AS kept, kept_words FROM based
+"""
+
+ORACLE = {"op6_repeated_passages": _OP6_SQL, "op7_quality": _OP7_SQL, "op1_chat_formatting": _OP1_SQL}
