@@ -18,13 +18,15 @@ _folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder of this application below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A fresh name in this application's folder (``rivulet-APPLICATION``) below ``spark.checkpoint.dir``; below a temporary
+    folder only where that is unset. Results may be read late, so nothing is deleted here: drop the application's folder
+    when it has ended."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
         base = spark.conf.get("spark.checkpoint.dir", None)
         base = base or "file://" + tempfile.mkdtemp(prefix="rivulet-checkpoint-")
         _folders[app] = base.rstrip("/")
-    return f"{_folders[app]}/rivulet-{uuid.uuid4().hex}"
+    return f"{_folders[app]}/rivulet-{app}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
