@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,9 +52,9 @@ def diagnostics(files: DataFrame) -> DataFrame:
     """Files that could not be read, and metadata that is missing."""
 
     def f(path, name, content, pos):
-        found, problem = chunks.extract(name, content)
+        problem = chunks.extract(name, content)[1]
         out = [(path, "error", problem)] if problem else []
-        for c in found:
+        for c in units(name, content):
             if c.dialect == "python":
                 out += [(path, "error", d)] if (d := pyscope.pyspark_mappings(c.content)[1]) else []
         known = file_metadata(name, content)
@@ -75,6 +77,16 @@ def file_metadata(name: str, content: bytes | None) -> dict[str, str]:
     return {k: v for k in pyscope.METADATA if (v := bi._meta(text, k, mark))} if mark else {}
 
 
+def units(name: str, content: bytes | None) -> list[chunks.Chunk]:
+    """A file's pieces as programs: the Python cells of a notebook are one, without magics, so that names carry over."""
+    found, _ = chunks.extract(name, content)
+    cells = [c for c in found if c.dialect == "python"]
+    if len(cells) < 2:
+        return found
+    code = "\n".join(re.sub(r"(?m)^\s*[%!].*$", "", c.content) for c in cells)
+    return [chunks.Chunk(code, "python", "notebook"), *(c for c in found if c.dialect != "python")]
+
+
 def _stem(name: str) -> str:
     base = name.rpartition("/")[2]
     return base.rpartition(".")[0] or base
@@ -100,7 +112,7 @@ def column_facts(files: DataFrame, dependencies: bool = False) -> DataFrame:
     def f(path, name, content, pos):
         label = LABELS.get(detect(name, chunks.decode((content or b"")[:4096]))[0], "Unknown")
         job, rows = _stem(name), []
-        for c in chunks.extract(name, content)[0]:
+        for c in units(name, content):
             rows += mappings_of(c.content, c.dialect, job, dependencies)
         return [(path, label, job, *m, pos * _WIDE + k) for k, m in enumerate(sqlscope.merged(rows))]
 
@@ -127,7 +139,7 @@ def table_facts(files: DataFrame) -> DataFrame:
         if (r := bi.read_report(name, content)) is not None:
             return [(*head(r.job_type), bi.shortened(r.logic, 5), r.sources, r.targets, r.keys, r.kpis)]
         out = []
-        for c in chunks.extract(name, content)[0]:
+        for c in units(name, content):
             if c.dialect == "python":
                 for w in pyscope.writes(c.content)[0]:
                     logic = " -> ".join(w.logic) or " | ".join(w.sql)
@@ -170,7 +182,7 @@ def construct_facts(files: DataFrame) -> DataFrame:
             found, problem = [], ""
             sources, targets = ([t for x in facts for t in x[k]] for k in (1, 2))
         else:
-            code = text if family == "python" else "\n".join(c.content for c in chunks.from_notebook(text) if c.dialect == "python")
+            code = text if family == "python" else "\n".join(c.content for c in units(name, content) if c.dialect == "python")
             found, sources, targets, problem = pyscope.constructs(code)
             text = "\n".join(pyscope.sql_strings(code))
         once = lambda xs: list(dict.fromkeys(xs))

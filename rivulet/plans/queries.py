@@ -171,6 +171,60 @@ UNION ALL SELECT id, 'raw', concat('e', id % 10), concat('x', id % 5), '', '', c
 UNION ALL SELECT id, 'raw', concat('e', id % 10), 'd', '', '', 'z', 'ALIAS' FROM p WHERE id % 4 = 3""")
 
 
+
+
+def _files(spark: SparkSession, sf: str, sql: str) -> DataFrame:
+    """Rows (id, name, code) as files."""
+    return _views(spark, sf, sql).select(F.concat(F.lit("/"), "name").alias("path"), F.col("name").alias("file_name"), F.col("code").cast("binary").alias("content"), F.col("id").cast("long").alias("file_pos"))
+
+
+_PYTHON = """SELECT c_custkey AS id, concat('j', c_custkey, '.py') AS name, concat('DOMAIN = "d', c_nationkey, '"\\na = spark.table("raw.s', c_custkey % 20, '")\\nb = spark.read.table("raw.r', c_custkey % 7, '")\\nx = a.join(b, a.k', c_custkey % 3, ' == b.id).select("c', c_custkey % 5, '", F.col("v").alias("w', c_custkey % 4, '"))\\nx.write.mode("append").saveAsTable("gold.t', c_custkey % 9, '")\\ny = a.groupBy("g").agg(F.sum("q', c_custkey % 6, '").alias("total"))\\ny.repartition(4).write.format("orc").saveAsTable("gold.u', c_custkey % 8, '")') AS code FROM customer""".replace("\\\\n", "\\n")
+_P = "WITH p AS (SELECT c_custkey AS id, c_nationkey AS n FROM customer) "
+
+
+def _facts_of(spark: SparkSession, sf: str, sql: str, dependencies: bool = False) -> DataFrame:
+    return lineage.column_facts(_files(spark, sf, sql), dependencies).where("primary").drop("primary", "pos", "file_path")
+
+
+_HEAD = "SELECT 'PySpark' AS file_type, concat('j', id) AS job_name, 'raw' AS source_database, {} FROM p"
+_add("pyspark_lineage", lambda spark, sf: _facts_of(spark, sf, _PYTHON, True), _P + " UNION ALL ".join(_HEAD.format(x) for x in (
+    "concat('s', id % 20) AS source_table, concat('k', id % 3) AS source_column, 'gold' AS target_database, concat('t', id % 9) AS target_table, concat('k', id % 3) AS target_column, 'JOIN' AS sql_operation",
+    "concat('r', id % 7), 'id', 'gold', concat('t', id % 9), 'id', 'JOIN'",
+    "concat('s', id % 20), concat('c', id % 5), 'gold', concat('t', id % 9), concat('c', id % 5), 'SELECT'",
+    "concat('s', id % 20), 'v', 'gold', concat('t', id % 9), concat('w', id % 4), 'ALIAS'",
+    "concat('s', id % 20), concat('q', id % 6), 'gold', concat('u', id % 8), 'total', 'AGGREGATE'")))
+_lists = lambda df, *names: df.select(*(F.array_join(c, ";").alias(c) if c in names else F.col(c) for c in df.columns))
+_add("table_lineage_per_write", lambda spark, sf: _lists(lineage.table_facts(_files(spark, sf, _PYTHON)), "source_tables", "target_tables", "key_columns", "kpis").drop("file_path", "schedule", "owner"),
+     _P + """SELECT concat('j', id) AS job_name, 'curated' AS job_type, concat('d', n) AS domain, 'unknown' AS subject_area, 'join -> select' AS transformation_logic, concat('s', id % 20, ';r', id % 7) AS source_tables, concat('t', id % 9) AS target_tables, concat('k', id % 3, ';id') AS key_columns, '' AS kpis FROM p
+UNION ALL SELECT concat('j', id), 'aggregation', concat('d', n), 'unknown', 'join -> select -> groupBy -> agg', concat('s', id % 20, ';r', id % 7), concat('u', id % 8), concat('k', id % 3, ';id;g'), 'total' FROM p""")
+_add("constructs_pyspark", lambda spark, sf: _lists(lineage.construct_facts(_files(spark, sf, _PYTHON)), "source_tables", "target_tables", "constructs_found").select("job_name", "file_type", "source_tables", "target_tables", "constructs_found", F.col("construct_count").cast("long").alias("construct_count"), "complexity", "has_udf", "has_delta_ops"),
+     _P + "SELECT concat('j', id) AS job_name, 'PySpark' AS file_type, concat('s', id % 20, ';r', id % 7) AS source_tables, concat('t', id % 9, ';u', id % 8) AS target_tables, 'repartition;format(orc)' AS constructs_found, 2 AS construct_count, 'rewrite' AS complexity, FALSE AS has_udf, FALSE AS has_delta_ops FROM p")
+_PBIT = """SELECT n_nationkey AS id, concat('rep', n_nationkey, '.pbit') AS name, concat('{"dataSources":[{"type":"sql","queries":[{"name":"q","query":"SELECT a', n_nationkey, ' FROM gold.s', n_regionkey, ' WHERE a', n_nationkey, ' > 1"}]}],"dataModel":{"tables":[{"name":"T', n_nationkey, '","source":"gold.m', n_regionkey, '","columns":[{"name":"x"},{"name":"y"}]}]},"measures":[{"table":"T","name":"M","expression":"SUM(T[x])"}]}') AS code FROM nation"""
+_N = "WITH p AS (SELECT n_nationkey AS id, n_regionkey AS r FROM nation) "
+_add("pbit_columns", lambda spark, sf: relational.with_report_targets(lineage.column_facts(_files(spark, sf, _PBIT)).where("primary")).drop("primary", "pos", "file_path"),
+     _N + " UNION ALL ".join(f"SELECT 'PowerBI' AS file_type, concat('rep', id) AS job_name, 'gold' AS source_database, {x} FROM p" for x in (
+         "concat('m', r) AS source_table, 'x' AS source_column, 'report' AS target_database, concat('rep', id) AS target_table, 'x' AS target_column, 'SELECT' AS sql_operation",
+         "concat('m', r), 'y', 'report', concat('rep', id), 'y', 'SELECT'", "concat('s', r), concat('a', id), 'report', concat('rep', id), concat('a', id), 'SELECT, FILTER'")))
+_LOOK = """SELECT n_nationkey AS id, concat('l', n_nationkey, '.lkml') AS name, concat('view: v', n_nationkey, ' { sql_table_name: ops.f', n_regionkey, ' ;; dimension: id { primary_key: yes sql: $', '{TABLE}.id ;; } measure: n { type: sum sql: $', '{TABLE}.w ;; } }') AS code FROM nation"""
+_QLIK = """SELECT 100 + n_nationkey AS id, concat('q', n_nationkey, '.qvs') AS name, concat('L', n_nationkey, ':', chr(10), 'SQL SELECT a, SUM(b) AS t FROM scm.f', n_regionkey, ' GROUP BY a;') AS code FROM nation"""
+_add("report_tables", lambda spark, sf: _lists(lineage.report_facts(_files(spark, sf, f"{_PBIT} UNION ALL {_LOOK} UNION ALL {_QLIK}")), "sql_names", "tables", "columns", "operations").drop("file_path", "domain", "subject_area"),
+     _N + """SELECT concat('rep', id) AS report_name, 'PowerBI' AS tool_name, 'q' AS sql_names, concat('s', r) AS tables, concat('a', id, ';x;y') AS columns, 'SELECT;FILTER;AGGREGATE' AS operations FROM p
+UNION ALL SELECT concat('l', id), 'Looker', concat('v', id), concat('f', r), 'id;w', 'SELECT;AGGREGATE' FROM p
+UNION ALL SELECT concat('q', id), 'Qlik', '', concat('f', r), 'a;b', 'SELECT;AGGREGATE' FROM p""")
+_add("diagnostics", lambda spark, sf: lineage.diagnostics(_files(spark, sf, "SELECT n_nationkey AS id, concat('f', n_nationkey, '.py') AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'def (' ELSE 'DOMAIN = \"x\"' END AS code FROM nation")).select("file_path", "level", F.substring_index("message", ":", 2).alias("message")),
+     "SELECT concat('/f', n_nationkey, '.py') AS file_path, 'error' AS level, 'python: SyntaxError' AS message FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT concat('/f', n_nationkey, '.py'), 'warning', 'missing DOMAIN metadata' FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT concat('/f', n_nationkey, '.py'), 'warning', 'missing SUBJECT_AREA metadata' FROM nation")
+_DEPS = """SELECT s_suppkey AS id, concat('WITH q AS (SELECT a.x, b.y FROM d.a', s_suppkey % 5, ' a JOIN d.b b ON a.k = b.k WHERE a.z > 1) INSERT INTO g.t', s_suppkey % 3, ' SELECT q.x FROM q WHERE q.x < 5') AS sql FROM supplier"""
+_add("dependencies", lambda spark, sf: lineage.statement_facts(_views(spark, sf, _DEPS), "sql", "id", True).where("primary").drop("primary"),
+     " UNION ALL ".join(f"SELECT s_suppkey AS id, 'd' AS source_database, {x}, 'g' AS target_database, concat('t', s_suppkey % 3) AS target_table, {y} FROM supplier" for x, y in (
+         ("concat('a', s_suppkey % 5) AS source_table, 'z' AS source_column", "'—' AS target_column, 'FILTER_DEPENDENCY' AS sql_operation"), ("concat('a', s_suppkey % 5), 'k'", "'—', 'JOIN_KEY'"), ("'b', 'k'", "'—', 'JOIN_KEY'"), ("concat('a', s_suppkey % 5), 'x'", "'x', 'SELECT, FILTER'"))))
+_add("sql_in_python", lambda spark, sf: _views(spark, sf, "SELECT s_suppkey AS id, concat('x = spark.sql(\"SELECT a', s_suppkey, ' FROM t\")', chr(10), 'y = spark.sql(v)') AS v FROM supplier").select("id", F.array_join(t.sql_strings(F.col("v")), "|").alias("v")),
+     "SELECT s_suppkey AS id, concat('SELECT a', s_suppkey, ' FROM t') AS v FROM supplier")
+_CHUNKS = """SELECT s_suppkey AS id, concat('c', s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN '.sh' WHEN 1 THEN '.yaml' WHEN 2 THEN '.tf' WHEN 3 THEN '.json' ELSE '.xml' END) AS name, CASE s_suppkey % 5
+ WHEN 0 THEN concat('psql -c \"SELECT a FROM t', s_suppkey, ' WHERE 1 = 1\"') WHEN 1 THEN concat('m:', chr(10), '  sql: |', chr(10), '    SELECT a FROM t', s_suppkey, ' WHERE 1 = 1', chr(10)) WHEN 2 THEN concat('query = \"SELECT a FROM t', s_suppkey, ' WHERE 1 = 1\"')
+ WHEN 3 THEN concat('{\"q\": [{\"s\": \"SELECT a FROM t', s_suppkey, ' WHERE 1 = 1\"}]}') ELSE concat('<a><sqlText>SELECT a FROM t', s_suppkey, ' WHERE 1 = 1</sqlText></a>') END AS code FROM supplier"""
+_add("chunk_formats", lambda spark, sf: lineage.explode_chunks(_files(spark, sf, _CHUNKS)).select("file_name", "dialect", F.trim("content").alias("content")),
+     "SELECT concat('c', s_suppkey, ['.sh', '.yaml', '.tf', '.json', '.xml'][s_suppkey % 5 + 1]) AS file_name, 'sql' AS dialect, concat('SELECT a FROM t', s_suppkey, ' WHERE 1 = 1') AS content FROM supplier")
+
 # --- relations between facts
 def _on_facts(name: str, f: Callable[[DataFrame], DataFrame], sql: str) -> None:
     _add(name, lambda spark, sf: f(_views(spark, sf, FACTS)), _F + sql)
@@ -221,6 +275,10 @@ _on_facts("report_targets", lambda f: relational.with_report_targets(f).groupBy(
 _on_facts("running_sources", lambda f: relational.running_distinct(f.where("source_table <> ''"), "file_path", "pos", "source_table").select("file_path", "pos", F.array_join("so_far", ";").alias("so_far")),
           """, w AS (SELECT file_path, pos, list(source_table) OVER (PARTITION BY file_path ORDER BY pos) AS l FROM f WHERE source_table <> '')
 SELECT file_path, pos, array_to_string(list_filter(l, (x, i) -> list_position(l, x) = i), ';') AS so_far FROM w""")
+_E2E_SUM = ORACLE["e2e_tables"]
+_add("e2e_summary", lambda spark, sf: relational.summary(_e2e_tables(spark, sf)), f"""WITH e AS ({_E2E_SUM}) SELECT unnest(['rows', 'matched', 'unmatched', 'reports', 'tables']) AS metric,
+ unnest([count(*), count(*) FILTER (WHERE report_name <> '— no match found'), count(*) FILTER (WHERE report_name = '— no match found'), count(DISTINCT report_name) FILTER (WHERE report_name <> '— no match found'), count(DISTINCT target_table)]) AS value FROM e""")
+
 # --- constructs that the analysed code uses, executed
 _same("x_lateral_explode", "SELECT p_partkey, w FROM part LATERAL VIEW explode(split(p_name, ' ')) v AS w", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part")
 _same("x_posexplode", "SELECT p_partkey, pos, w FROM part LATERAL VIEW posexplode(split(p_type, ' ')) v AS pos, w", "SELECT p_partkey, CAST(i - 1 AS INTEGER) AS pos, string_split(p_type, ' ')[i] AS w FROM part, unnest(range(1, len(string_split(p_type, ' ')) + 1)) AS u(i)")
