@@ -31,6 +31,8 @@ from .common import cut, id_text, ship
 SEED = 42
 #: Pairs of leaves compared at a time.
 PAIRS = 1 << 20
+#: Rows (of two numbers) that go may be broadcast up to this many: 48 MB at most. Beyond it both sides are dealt by key.
+BROADCAST_ROWS = 2_000_000
 
 
 def shingle_hashes(raw: bytes, k: int, seed: int = SEED) -> np.ndarray:
@@ -332,7 +334,8 @@ def keep_first(df: DataFrame, k: int = 5, budget: int = 8, seeds: int = 4, most_
     gone = marked.where(~stay).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
     again = found.groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"))
     key = F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__h"))
-    kept = df.join(gone, key, "left_anti")
+    gone = cut(gone, "gone")
+    kept = df.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti")
     if again.isEmpty():
         return kept
     columns = df.columns
