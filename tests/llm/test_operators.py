@@ -168,6 +168,13 @@ def test_pages_odd_input(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def test_pages_without_broadcast(spark, monkeypatch):
+    rows = spark.read.parquet(f"{SF}/pages.parquet")
+    whole = multiset(tuple(r) for r in pages.extract(rows).collect())
+    monkeypatch.setattr(pages, "BROADCAST_BYTES", 0)
+    assert multiset(tuple(r) for r in pages.extract(rows).collect()) == whole
+
+
 def test_wrapper_finds_unmarked_articles():
     page = lambda title, n: f"<body><div class=top><a href=/>Home</a></div><div class=box><h2>{title}</h2>{''.join(f'<p>{title} text {k}</p>' for k in range(n))}</div><div class=foot>same words</div></body>"
     w = pages.infer([page("alpha", 2), page("beta", 4), page("gamma", 3)])
