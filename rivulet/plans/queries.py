@@ -150,7 +150,7 @@ def _notebooks(spark: SparkSession, sf: str) -> DataFrame:
     return lineage.explode_chunks(rows).select("file_name", F.col("chunk_pos").cast("long").alias("chunk_pos"), "dialect", "content")
 
 
-_add("notebook_cells", _notebooks, "SELECT concat('n', n_nationkey, '.ipynb') AS file_name, 0 AS chunk_pos, 'python' AS dialect, concat('x = ', n_nationkey) AS content FROM nation UNION ALL SELECT concat('n', n_nationkey, '.ipynb'), 1, 'sql', concat('SELECT ', n_nationkey) FROM nation")
+_add("notebook_cells", _notebooks, "SELECT concat('n', n_nationkey, '.ipynb') AS file_name, CAST(0 AS BIGINT) AS chunk_pos, 'python' AS dialect, concat('x = ', n_nationkey) AS content FROM nation UNION ALL SELECT concat('n', n_nationkey, '.ipynb'), 1, 'sql', concat('SELECT ', n_nationkey) FROM nation")
 
 # --- lineage of statements
 _COLUMNS = "source_database, source_table, source_column, target_database, target_table, target_column, sql_operation"
@@ -198,7 +198,7 @@ _add("table_lineage_per_write", lambda spark, sf: _lists(lineage.table_facts(_fi
      _P + """SELECT concat('j', id) AS job_name, 'curated' AS job_type, concat('d', n) AS domain, 'unknown' AS subject_area, 'join -> select' AS transformation_logic, concat('s', id % 20, ';r', id % 7) AS source_tables, concat('t', id % 9) AS target_tables, concat('k', id % 3, ';id') AS key_columns, '' AS kpis FROM p
 UNION ALL SELECT concat('j', id), 'aggregation', concat('d', n), 'unknown', 'join -> select -> groupBy -> agg', concat('s', id % 20, ';r', id % 7), concat('u', id % 8), concat('k', id % 3, ';id;g'), 'total' FROM p""")
 _add("constructs_pyspark", lambda spark, sf: _lists(lineage.construct_facts(_files(spark, sf, _PYTHON)), "source_tables", "target_tables", "constructs_found").select("job_name", "file_type", "source_tables", "target_tables", "constructs_found", F.col("construct_count").cast("long").alias("construct_count"), "complexity", "has_udf", "has_delta_ops"),
-     _P + "SELECT concat('j', id) AS job_name, 'PySpark' AS file_type, concat('s', id % 20, ';r', id % 7) AS source_tables, concat('t', id % 9, ';u', id % 8) AS target_tables, 'repartition;format(orc)' AS constructs_found, 2 AS construct_count, 'rewrite' AS complexity, FALSE AS has_udf, FALSE AS has_delta_ops FROM p")
+     _P + "SELECT concat('j', id) AS job_name, 'PySpark' AS file_type, concat('s', id % 20, ';r', id % 7) AS source_tables, concat('t', id % 9, ';u', id % 8) AS target_tables, 'repartition;format(orc)' AS constructs_found, CAST(2 AS BIGINT) AS construct_count, 'rewrite' AS complexity, FALSE AS has_udf, FALSE AS has_delta_ops FROM p")
 _PBIT = """SELECT n_nationkey AS id, concat('rep', n_nationkey, '.pbit') AS name, concat('{"dataSources":[{"type":"sql","queries":[{"name":"q","query":"SELECT a', n_nationkey, ' FROM gold.s', n_regionkey, ' WHERE a', n_nationkey, ' > 1"}]}],"dataModel":{"tables":[{"name":"T', n_nationkey, '","source":"gold.m', n_regionkey, '","columns":[{"name":"x"},{"name":"y"}]}]},"measures":[{"table":"T","name":"M","expression":"SUM(T[x])"}]}') AS code FROM nation"""
 _N = "WITH p AS (SELECT n_nationkey AS id, n_regionkey AS r FROM nation) "
 _add("pbit_columns", lambda spark, sf: relational.with_report_targets(lineage.column_facts(_files(spark, sf, _PBIT)).where("primary")).drop("primary", "pos", "file_path"),
@@ -288,12 +288,12 @@ _same("x_pivot", "SELECT * FROM (SELECT l_returnflag, l_linestatus FROM lineitem
 _same("x_unpivot", "SELECT n_name, k, v FROM (SELECT n_name, n_nationkey, n_regionkey FROM nation) UNPIVOT (v FOR k IN (n_nationkey, n_regionkey))", "SELECT n_name, 'n_nationkey' AS k, n_nationkey AS v FROM nation UNION ALL SELECT n_name, 'n_regionkey', n_regionkey FROM nation")
 _same("x_higher_order", "SELECT p_partkey, array_join(transform(filter(split(p_name, ' '), w -> length(w) > 3), w -> upper(w)), '|') AS long_words, aggregate(split(p_name, ' '), 0, (s, w) -> s + length(w)) AS letters FROM part", "SELECT p_partkey, array_to_string(list_transform(list_filter(string_split(p_name, ' '), w -> length(w) > 3), w -> upper(w)), '|') AS long_words, CAST(list_sum(list_transform(string_split(p_name, ' '), w -> length(w))) AS INTEGER) AS letters FROM part")
 _same("x_map_struct", "SELECT n_nationkey, element_at(map('a', n_name, 'b', cast(n_regionkey AS string)), 'b') AS b, named_struct('x', n_name).x AS x, array(n_nationkey, n_regionkey)[1] AS r FROM nation", "SELECT n_nationkey, CAST(n_regionkey AS VARCHAR) AS b, n_name AS x, n_regionkey AS r FROM nation")
-_RANKED = "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(4) OVER w AS nt, lag(o_orderkey) OVER w AS prev, lead(o_orderkey, 2) OVER w AS nxt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
+_RANKED = "SELECT o_orderkey, CAST(row_number() OVER w AS bigint) AS rn, CAST(rank() OVER w AS bigint) AS rk, CAST(dense_rank() OVER w AS bigint) AS dr, CAST(ntile(4) OVER w AS bigint) AS nt, lag(o_orderkey) OVER w AS prev, lead(o_orderkey, 2) OVER w AS nxt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
 _same("x_window_ranks", _RANKED)
 _same("x_first_last_value", "SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l, nth_value(o_orderkey, 2) OVER w AS n2, CAST(round(percent_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 6) AS double) AS pr FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 _same("x_qualify", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) WHERE rn = 1", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1")
 _same("x_collect", "SELECT n_regionkey, array_join(sort_array(collect_list(n_name)), ',') AS names, size(collect_set(n_regionkey)) AS n FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names, 1 AS n FROM nation GROUP BY n_regionkey")
-_same("x_distinct_any", "SELECT c_nationkey, count(DISTINCT c_mktsegment) AS segments, any_value(c_nationkey) AS one, approx_count_distinct(c_nationkey) AS about FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, count(DISTINCT c_mktsegment) AS segments, c_nationkey AS one, 1 AS about FROM customer GROUP BY c_nationkey")
+_same("x_distinct_any", "SELECT c_nationkey, count(DISTINCT c_mktsegment) AS segments, any_value(c_nationkey) AS one, approx_count_distinct(c_nationkey) AS about FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, count(DISTINCT c_mktsegment) AS segments, c_nationkey AS one, CAST(1 AS BIGINT) AS about FROM customer GROUP BY c_nationkey")
 _same("x_dates", "SELECT o_orderkey, date_add(o_orderdate, 7) AS plus, date_sub(o_orderdate, 3) AS minus, datediff(o_orderdate, DATE '1992-01-01') AS days, CAST(date_trunc('MONTH', o_orderdate) AS date) AS month, current_date() >= DATE '2020-01-01' AS now_ok FROM orders",
       "SELECT o_orderkey, CAST(o_orderdate AS DATE) + 7 AS plus, CAST(o_orderdate AS DATE) - 3 AS minus, CAST(CAST(o_orderdate AS DATE) - DATE '1992-01-01' AS INTEGER) AS days, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, TRUE AS now_ok FROM orders")
 _same("x_try_cast", "SELECT p_partkey, try_cast(p_type AS int) AS bad, try_cast(cast(p_size AS string) AS int) AS good FROM part", "SELECT p_partkey, TRY_CAST(p_type AS INTEGER) AS bad, p_size AS good FROM part")
