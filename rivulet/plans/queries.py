@@ -29,7 +29,7 @@ FROM part"""
 FACTS = """SELECT concat('f', l_orderkey % 997) AS file_path,
  CASE WHEN l_orderkey % 5 = 0 THEN 'PowerBI' WHEN l_orderkey % 5 = 1 THEN 'PySpark' ELSE 'SQL' END AS file_type, concat('job', l_orderkey % 97) AS job_name,
  CASE WHEN l_suppkey % 7 = 0 THEN '' ELSE 'silver' END AS source_database,
- CASE WHEN l_partkey % 11 = 0 THEN '' ELSE concat('t', l_suppkey % 40) END AS source_table, concat('c', l_partkey % 23) AS source_column,
+ CASE WHEN l_partkey % 11 = 0 THEN '' ELSE concat('t', l_suppkey % CASE WHEN l_orderkey % 5 = 0 THEN 30 ELSE 40 END) END AS source_table, concat('c', l_partkey % 23) AS source_column,
  'gold' AS target_database, CASE WHEN l_partkey % 29 = 0 THEN '' ELSE concat('t', 20 + l_partkey % 60) END AS target_table,
  CASE WHEN l_linenumber = 7 THEN '—' ELSE concat('c', l_partkey % 17) END AS target_column,
  CASE l_linenumber % 5 WHEN 0 THEN 'SELECT' WHEN 1 THEN 'AGGREGATE' WHEN 2 THEN 'JOIN' WHEN 3 THEN 'FILTER' ELSE 'JOIN_KEY' END AS sql_operation,
@@ -248,10 +248,9 @@ _on_facts("job_summary", relational.job_summary, f""", k AS (SELECT DISTINCT fil
  c AS (SELECT file_path, file_type, job_name, string_agg(v, ', ' ORDER BY p) AS v FROM ({_first.format(0, 'sql_operation')}) GROUP BY ALL)
 SELECT k.*, coalesce(a.v, '') AS source_tables, coalesce(b.v, '') AS target_tables, coalesce(c.v, '') AS operations_summary FROM k
  LEFT JOIN a USING (file_path, file_type, job_name) LEFT JOIN b USING (file_path, file_type, job_name) LEFT JOIN c USING (file_path, file_type, job_name)""")
-_READ = "file_type <> 'PowerBI' OR source_table < 't3'"
-_on_facts("circular_tables", lambda f: relational.circular(f.where(_READ)), f"""SELECT table_name, 'source and target' AS appears_as, concat('Table ''', table_name, ''' is read and written by pipelines') AS warning FROM (
+_on_facts("circular_tables", relational.circular, f"""SELECT table_name, 'source and target' AS appears_as, concat('Table ''', table_name, ''' is read and written by pipelines') AS warning FROM (
  SELECT lower(source_table) AS table_name FROM f WHERE file_type NOT IN {_REPORTS} AND source_table <> '' INTERSECT SELECT lower(target_table) FROM f WHERE file_type NOT IN {_REPORTS} AND target_table <> ''
- EXCEPT SELECT lower(source_table) FROM f WHERE file_type IN {_REPORTS} AND ({_READ}))""")
+ EXCEPT SELECT lower(source_table) FROM f WHERE file_type IN {_REPORTS})""")
 _E2E = f"""SELECT DISTINCT a.source_table, a.source_column, a.target_table, a.target_column, b.target_table AS report_table, b.target_column AS report_column
 FROM f a JOIN f b ON lower(trim(a.target_table)) = lower(trim(b.source_table)) AND lower(trim(a.target_column)) = lower(trim(b.source_column))
 WHERE a.file_type NOT IN {_REPORTS} AND a.target_table <> '' AND b.file_type IN {_REPORTS} AND b.source_table <> ''"""
