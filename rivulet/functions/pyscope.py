@@ -10,7 +10,7 @@ import ast
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
-from .sqlscope import AGGREGATES, Mapping, column_mappings, merged, split_qualified, split_statements
+from .sqlscope import AGGREGATES, Builder, Mapping, Query, Relation, column_mappings, merged, split_qualified, split_statements, tokenize
 
 # --- fixed values: the methods that are told apart
 TRANSFORMS = ("join", "filter", "where", "groupBy", "agg", "select", "withColumn", "drop", "distinct", "orderBy", "sort", "limit", "union", "intersect")
@@ -236,11 +236,8 @@ class Flow(ast.NodeVisitor):
 
     @staticmethod
     def compared(text: str) -> list[str]:
-        found = column_mappings(f"SELECT * FROM t WHERE {text}")
-        from .sqlscope import Builder, Query, Relation, tokenize
-
-        b = Builder([])
-        return [c for c, _ in b.compared(tokenize(text), {}, Query(relations=[Relation("t", "", "t")]))] if found is not None else []
+        """Columns before a comparison in a filter's text."""
+        return [c for c, _ in Builder().compared(tokenize(text), {}, Query(relations=[Relation("t", "", "t")]))]
 
     @staticmethod
     def aggregate(node: ast.AST) -> bool:

@@ -150,13 +150,9 @@ class Output:
     sources: list[Source]
     op: str
     primary: int = 0
-    #: A plain column takes over the operation that made it further down.
-    plain: bool = False
+    #: Arithmetic over two or more qualified columns: shown as ``expr``.
     untraced: bool = False
 
-    def seen(self) -> list[Source]:
-        return self.sources
-
 
 @dataclass
 class Relation:
@@ -171,7 +167,7 @@ class Relation:
             return [Source(self.database, self.table, column)], 0
         for o in self.query.outputs:
             if o.name.lower() == column.lower():
-                return [Source(*s[:3], o.op if not o.plain else s.op) for s in o.sources], o.primary
+                return [Source(*s[:3], o.op) for s in o.sources], o.primary
         for o in self.query.outputs:
             if o.name == "*" and o.sources:
                 return [Source(s.database, s.table, column) for s in o.sources], 0
@@ -214,10 +210,7 @@ class Query:
 
 
 class Builder:
-    """Reads one statement."""
-
-    def __init__(self, tokens: list[Token]):
-        self.tokens = tokens
+    """Reads the parts of a statement into scopes."""
 
     def ctes(self, tokens: list[Token], env: dict[str, Query], parent: Query | None) -> tuple[list[Token], dict[str, Query], list[Query]]:
         """The tokens after a WITH clause, the names that it adds, and their scopes."""
@@ -584,7 +577,7 @@ def read_statement(sql: str) -> Statement | None:
     tokens = tokenize(sql)
     if not tokens or SKIPPED.match(" ".join(t.text for t in tokens[:4])):
         return None
-    b = Builder(tokens)
+    b = Builder()
     rest, env, made = b.ctes(tokens, {}, None)
     s = Statement()
     word = rest[0].up if rest else ""
