@@ -329,6 +329,7 @@ def keep_first(df: DataFrame, k: int = 5, budget: int = 8, seeds: int = 4, most_
     """
     found = cut(groups(df, k, budget, id_col, text_col, seeds, most_all).select("doc_id", "h", "root"), "groups")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "h")).alias("first"))
+    first = cut(first, "first")  # so that the join's side with a large group can be split
     marked = found.join(first, "root")
     stay = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
     gone = marked.where(~stay).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
