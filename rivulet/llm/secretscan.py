@@ -2,12 +2,13 @@ r"""Secrets in documents: plain rules, and automata learnt from labelled credent
 
 The rules find assignments, access keys and long hexadecimal runs. Besides, for each labelled format a prefix tree is
 built from its examples and its states are merged where their outgoing frequencies agree within a Hoeffding bound
-(ALERGIA); a merge that fails further down is undone. Every other candidate run of credential characters is scored by
-the likelihood of its symbols under each automaton, and added as a span of kind ``format`` where that reaches the level
-which the labelled examples themselves reach.
+(ALERGIA). From every place where a format's literal start stands (a format without one: from every part of a run of
+credential characters) its automaton reads on, and the longest match whose likelihood reaches the level which the labelled
+examples themselves reach is added as a span of kind ``format``, unless a rule's span holds it. The automaton alone decides
+on lengths: fixed ones become chains of states, varying ones loops.
 
-Symbols are classes of characters (digits, a-f, g-z, A-F, G-Z, each mark by itself), except that the first ``PREFIX``
-characters of a format stand for themselves. Null texts count as empty. Every text is scanned whole; offsets are code
+Likelihoods are of classes of characters (digits, a-f, g-z, A-F, G-Z, each mark by itself), except that up to ``PREFIX``
+common first characters of a format stand for themselves. Null texts count as empty. Every text is scanned whole; offsets are code
 points, ends exclusive. Rows are scanned one by one, so repeated rows need no rule; an empty table gives an empty one;
 other columns pass through ``redact`` untouched.
 """
@@ -32,6 +33,7 @@ _access = re.compile(r"AKIA[A-Z0-9]{16,}")
 _hex = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: Runs of credential characters that the automata judge; one without a digit is no candidate.
 _candidate = re.compile(r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z0-9_+/=.-]*[0-9])[A-Za-z0-9_+/=.-]{20,}")
+_part = re.compile(r"[A-Za-z0-9]+")
 PREFIX = 8
 #: Most labelled examples for each format that an automaton is fitted on.
 MAX_EXAMPLES = 400
@@ -47,6 +49,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def symbol(c: str) -> str:
+    if not c.isascii():
+        return c
     if c.isdigit():
         return "9"
     if "a" <= c <= "f":
@@ -59,37 +63,48 @@ def symbol(c: str) -> str:
 _SIZE = {"9": 10, "a": 6, "A": 6, "z": 20, "Z": 20}
 
 
-def symbols(s: str, prefix: str) -> tuple[str, ...]:
-    """``prefix``, the literal start of a format, then classes."""
-    k = len(prefix) if s.startswith(prefix) else 0
-    return tuple("=" + c for c in s[:k]) + tuple(symbol(c) for c in s[k:])
-
-
 class Automaton:
-    """A probabilistic deterministic automaton by ALERGIA; ``alpha`` is the bound's chance of a wrong refusal."""
+    """A probabilistic deterministic automaton by ALERGIA; ``alpha`` is the bound's chance of a wrong refusal.
+
+    Steps are the characters of the format's literal start, marks that every example has equally often (they separate
+    parts), and ``x`` for all else; each state also counts the classes of the characters that its ``x`` stood for.
+    """
 
     def __init__(self, examples: list[str], alpha: float = 0.05, slack: float = 0.35):
         self.prefix = _common_prefix(examples)[:PREFIX]
-        self.alpha = alpha
+        rests = [x[len(self.prefix) :] for x in examples]
+        self.marks = {c for c in set("".join(rests)) if not c.isalnum() and len({x.count(c) for x in rests}) == 1}
+        self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self.next: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [defaultdict(int)]
+        self.kinds: list[dict[str, int]] = [defaultdict(int)]
         self.ends: list[int] = [0]
         for x in examples:
-            self._add(symbols(x, self.prefix))
+            self._add(x)
         self._merge()
         self.examples = len(examples)
+        seen: dict[str, int] = defaultdict(int)
+        for kinds in self.kinds:
+            for k, c in kinds.items():
+                seen[k] += c
+        self.share = {k: c / sum(seen.values()) for k, c in seen.items()}
         self.level = min(self.score(x) for x in examples) - slack
-        sizes = [len(x) for x in examples]
-        self.sizes = (min(sizes), max(sizes))
 
-    def _add(self, path: tuple[str, ...]) -> None:
+    def _step(self, c: str, i: int) -> str:
+        return "=" + c if i < len(self.prefix) else c if c in self.marks else "x"
+
+    def _add(self, x: str) -> None:
         q = 0
-        for a in path:
+        for i, c in enumerate(x):
+            a = self._step(c, i)
             self.count[q][a] += 1
+            if a == "x":
+                self.kinds[q][symbol(c)] += 1
             if a not in self.next[q]:
                 self.next[q][a] = len(self.next)
                 self.next.append({})
                 self.count.append(defaultdict(int))
+                self.kinds.append(defaultdict(int))
                 self.ends.append(0)
             q = self.next[q][a]
         self.ends[q] += 1
@@ -97,20 +112,22 @@ class Automaton:
     def _total(self, q: int) -> int:
         return self.ends[q] + sum(self.count[q].values())
 
-    def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
-        return abs(f1 / n1 - f2 / n2) > math.sqrt(0.5 * math.log(2 / self.alpha)) * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
-
-    def _compatible(self, a: int, b: int, depth: int = 12) -> bool:
-        n, m = self._total(a), self._total(b)
-        if a == b or not n or not m:
-            return True
-        if self._differ(self.ends[a], n, self.ends[b], m):
-            return False
-        for s in set(self.count[a]) | set(self.count[b]):
-            if self._differ(self.count[a].get(s, 0), n, self.count[b].get(s, 0), m):
-                return False
-            if depth and s in self.next[a] and s in self.next[b] and not self._compatible(self.next[a][s], self.next[b][s], depth - 1):
+    def _compatible(self, a: int, b: int) -> bool:
+        todo, seen = [(a, b)], {(a, b)}
+        while todo:
+            a, b = todo.pop()
+            n, m = self._total(a), self._total(b)
+            if a == b or not n or not m or (most := self.bound * (n**-0.5 + m**-0.5)) >= 1:
+                continue  # too few to differ, here and (as ``b`` is a tree) below
+            if abs(self.ends[a] / n - self.ends[b] / m) > most:
                 return False
+            for f, g in ((self.count[a], self.count[b]), (self.kinds[a], self.kinds[b])):
+                if any(abs(f.get(s, 0) / n - g.get(s, 0) / m) > most for s in {*f, *g}):
+                    return False
+            for s, t in self.next[b].items():
+                if s in self.next[a] and (pair := (self.next[a][s], t)) not in seen:
+                    seen.add(pair)
+                    todo.append(pair)
         return True
 
     def _fold(self, red: int, blue: int) -> None:
@@ -119,8 +136,9 @@ class Automaton:
         while todo:
             a, b = todo.pop()
             self.ends[a] += self.ends[b]
-            for s, c in self.count[b].items():
-                self.count[a][s] += c
+            for f, g in ((self.count[a], self.count[b]), (self.kinds[a], self.kinds[b])):
+                for s, c in g.items():
+                    f[s] += c
             for s, q in self.next[b].items():
                 if s in self.next[a]:
                     todo.append((self.next[a][s], q))
@@ -143,22 +161,54 @@ class Automaton:
         place = {q: k for k, q in enumerate(red)}  # what was folded is left out
         self.next = [{s: place[t] for s, t in self.next[q].items()} for q in red]
         self.count = [dict(self.count[q]) for q in red]
+        self.kinds = [dict(self.kinds[q]) for q in red]
         self.ends = [self.ends[q] for q in red]
+        self.totals = [self._total(k) for k in range(len(red))]
+
+    def _walk(self, text: str, at: int, dead: set[tuple[int, int]] | None = None):
+        """(end, mean log-likelihood of a character) of every start of ``text[at:]`` that the automaton may end at.
+
+        ``dead`` keeps places from which no end is reached, so that starts which run into each other cost one walk.
+        """
+        q, total, path, ended = 0, 0.0, [], False
+        for i in range(at, len(text) + 1):
+            if dead is not None:
+                if (i, q) in dead:
+                    break
+                path.append((i, q))
+            n = self.totals[q]
+            if self.ends[q]:
+                ended = True
+                path.clear()
+                yield i, (total + math.log(self.ends[q] / n)) / max(1, i - at)
+            if i == len(text):
+                break
+            c = text[i]
+            a = self._step(c, i - at)
+            if a not in self.next[q]:
+                break
+            f = self.count[q][a] / n
+            if a == "x":
+                k = symbol(c)
+                if k not in self.share:
+                    break
+                f *= (self.kinds[q].get(k, 0) + self.share[k]) / (self.count[q][a] + 1) / _SIZE.get(k, 1)
+            total += math.log(f)
+            q = self.next[q][a]
+        if dead is not None and not ended:
+            dead.update(path)
 
     def score(self, x: str) -> float:
-        """Mean log-likelihood of a character; a step that was never seen costs a fixed price."""
-        q, total = 0, 0.0
-        for a in symbols(x, self.prefix):
-            n = self._total(q)
-            f = self.count[q].get(a, 0)
-            if not f or a not in self.next[q]:
-                return -9.0
-            total += math.log(f / n) - math.log(1 if a.startswith("=") else _SIZE.get(a, 1))
-            q = self.next[q][a]
-        return total / max(1, len(x))
+        """Mean log-likelihood of a character, the end included; -9 where the automaton can't end there."""
+        return next((v for i, v in self._walk(x, 0) if i == len(x)), -9.0)
 
     def accepts(self, x: str) -> bool:
-        return self.sizes[0] - 2 <= len(x) <= self.sizes[1] + 2 and x.startswith(self.prefix) and self.score(x) >= self.level
+        return self.score(x) >= self.level
+
+    def longest(self, text: str, at: int, dead: set[tuple[int, int]]) -> int | None:
+        """Where the longest accepted match from ``at`` ends; without a literal start it must end with a part."""
+        found = [i for i, v in self._walk(text, at, dead) if v >= self.level and (self.prefix or not (i < len(text) and _part.match(text[i])))]
+        return found[-1] if found else None
 
 
 def _common_prefix(xs: list[str]) -> str:
@@ -174,13 +224,15 @@ def labelled_credentials(n: int = MAX_EXAMPLES, seed: int = 42) -> dict[str, lis
     """Labelled examples of publicly documented formats, drawn by rule with a fixed seed."""
     r = random.Random(seed)
     run = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
+    more = lambda least, mean: least + int(r.expovariate(1 / mean))
+    url = _LOW + _UP + _NUM + "_-"
     rules = {
         "forge": lambda: "ghp_" + run(_LOW + _UP + _NUM, 36),
-        "chat": lambda: f"xoxb-{run(_NUM, 12)}-{run(_NUM, 13)}-{run(_LOW + _UP + _NUM, 24)}",
-        "payment": lambda: "sk_live_" + run(_LOW + _UP + _NUM, 24),
-        "web": lambda: "AIza" + run(_LOW + _UP + _NUM + "_-", 35),
+        "chat": lambda: f"xoxb-{run(_NUM, r.randint(10, 13))}-{run(_NUM, r.randint(10, 13))}-{run(_LOW + _UP + _NUM, 24)}",
+        "payment": lambda: "sk_live_" + run(_LOW + _UP + _NUM, r.choice((24, 99))),
+        "web": lambda: "AIza" + run(url, 35),
         "uuid": lambda: "-".join(run("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)),
-        "signed": lambda: ".".join(["eyJ" + run(_LOW + _UP + _NUM, 33), "eyJ" + run(_LOW + _UP + _NUM + "_-", 60), run(_LOW + _UP + _NUM + "_-", 43)]),
+        "signed": lambda: ".".join(["eyJ" + run(_LOW + _UP + _NUM, more(17, 30)), "eyJ" + run(url, more(20, 150)), run(url, more(43, 80))]),
     }
     return {k: sorted({f() for _ in range(n)}) for k, f in rules.items()}
 

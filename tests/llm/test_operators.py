@@ -100,6 +100,20 @@ def test_secret_automata_on_held_out_credentials():
     assert all(len(a.next) < 200 for a in learnt.values())  # states were merged
 
 
+def test_secret_lengths_are_learnt():
+    import random
+
+    r = random.Random(5)
+    learnt = secretscan.learn(secretscan.labelled_credentials())
+    run = lambda k, alphabet="abcxyzABCXYZ0189": "".join(r.choice(alphabet) for _ in range(k))
+    for head, body, sign in ((17, 30, 43), (33, 900, 43), (33, 60, 342), (120, 3000, 86)):
+        token = f"eyJ{run(head)}.eyJ{run(body)}.{run(sign)}"
+        assert secretscan.scan(f"bearer {token} end", learnt)[1] == [(7, 3, 7 + len(token))]
+    chat = f"xoxb-{run(10, '0123456789')}-{run(11, '0123456789')}-{run(24)}"
+    assert secretscan.scan(chat, learnt)[1] == [(0, 3, len(chat))]
+    assert not learnt["forge"].accepts("ghp_" + run(20)) and not learnt["uuid"].accepts("12345678-1234-1234-1234-1234567890123")
+
+
 def test_secret_scan_rows(spark, documents, edge_docs):
     for df in (documents, edge_docs):
         got = secretscan.find(df).collect()
