@@ -31,8 +31,8 @@ ADDED = "format"
 _assign = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _access = re.compile(r"AKIA[A-Z0-9]{16,}")
 _hex = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-#: Runs of credential characters that the automata judge; one without a digit is no candidate.
-_candidate = re.compile(r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z0-9_+/=.-]*[0-9])[A-Za-z0-9_+/=.-]{20,}")
+#: Runs of credential characters; a format without a literal start may begin at any of their parts.
+_run = re.compile(r"[A-Za-z0-9_+/=.-]{20,}")
 _part = re.compile(r"[A-Za-z0-9]+")
 PREFIX = 8
 #: Most labelled examples for each format that an automaton is fitted on.
@@ -243,16 +243,35 @@ def learn(labelled: dict[str, list[str]]) -> dict[str, Automaton]:
     return {k: Automaton(least(xs)) for k, xs in sorted(labelled.items()) if xs}
 
 
+def _starts(text: str, prefix: str):
+    """Where a format may begin: at its literal start, wherever that is; without one at each part of a run."""
+    if prefix:
+        at = text.find(prefix)
+        while at >= 0:
+            yield at
+            at = text.find(prefix, at + 1)
+    else:
+        for m in _run.finditer(text):
+            for p in _part.finditer(text, *m.span()):
+                yield p.start()
+
+
 def scan(text: str, automata: dict[str, Automaton]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The rules' spans, and all spans, as (start, place of the kind, end); ``format`` comes after ``KINDS``."""
     base = base_spans(text)
-    more = []
-    for m in _candidate.finditer(text):
-        a, b = m.span()
-        token = m[0].rstrip(".=-")
-        b = a + len(token)
-        if not any(s < b and a < e for s, _, e in base) and any(x.accepts(token) for x in automata.values()):
+    found = []
+    for x in automata.values():
+        dead: set[tuple[int, int]] = set()
+        upto = 0
+        for a in _starts(text, x.prefix):
+            if a >= upto and (b := x.longest(text, a, dead)) is not None:
+                found.append((a, b))
+                upto = b
+    more, upto = [], 0
+    for a, b in sorted(found, key=lambda f: (f[0], -f[1])):
+        if b > upto and not any(s <= a and b <= e for s, _, e in base):
             more.append((a, len(KINDS), b))
+            upto = b
     return base, sorted(base + more)
 
 

@@ -114,6 +114,15 @@ def test_secret_lengths_are_learnt():
     assert not learnt["forge"].accepts("ghp_" + run(20)) and not learnt["uuid"].accepts("12345678-1234-1234-1234-1234567890123")
 
 
+def test_secrets_inside_runs():
+    learnt = secretscan.learn(secretscan.labelled_credentials())
+    forge, web, pay = "ghp_" + "aB3x" * 9, "AIza" + "xY7_-" * 7, "sk_live_" + "abCdEfgh" * 3
+    uuid = "123e4567-e89b-12d3-a456-426614174000"
+    for before, key, after in (("https://h/x?key=", web, "&v=1"), ("GH_PAT=", forge, ""), ("https://", forge, "@host/x.git"), ("", forge, "/tail.of/the-path"), ("", pay, "."), ("a/b/", uuid, "/c"), ("é", forge, "é")):
+        assert secretscan.scan(before + key + after, learnt)[1] == [(len(before), 3, len(before + key))]
+    assert secretscan.scan("eyJ" * 50_000 + " " + "a-1-" * 20_000, learnt)[1] == []
+
+
 def test_secret_scan_rows(spark, documents, edge_docs):
     for df in (documents, edge_docs):
         got = secretscan.find(df).collect()
