@@ -215,6 +215,15 @@ def test_wrapper_decides_within_marked_articles():
     assert pages.main_text(once, w) == "alpha alpha text 0 link alpha text 1 link only here"  # seen on one page, so nothing that stands
 
 
+def test_every_template_has_a_wrapper(spark):
+    """Rare templates of a host with many pages: their unmarked menus and footers go too."""
+    common = lambda k: f"<body><div class=top><a href=/>Home</a></div><div class=box><h2>c{k}</h2><p>c{k} text</p></div><div class=bot>same words</div></body>"
+    rare = lambda k: f"<body><section class=bar><a href=/>Go</a></section><section class=story><h2>r{k}</h2><p>r{k} long text here</p></section><section class=end>other words</section></body>"
+    rows = [(k, "http://h/x", common(k)) for k in range(300)] + [(k, "http://h/y", rare(k)) for k in range(300, 304)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"c{k} c{k} text" if k < 300 else f"r{k} r{k} long text here" for k in range(304)}
+
+
 # --- 5 simhash
 
 
