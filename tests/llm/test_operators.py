@@ -206,7 +206,7 @@ def test_wrapper_finds_unmarked_articles():
 
 
 def test_wrapper_decides_within_marked_articles():
-    page = lambda title, n: f"<body><article><h1>{title}</h1><div class=x><b>Standing words of the host</b></div>{''.join(f'<p>{title} text {k} <a href='/'>link</a></p>' for k in range(n))}<ul><li><a href='/'>{title} more</a></li></ul></article></body>"
+    page = lambda title, n: f"<body><article><h1>{title}</h1><div class=x><b>Standing words of the host</b></div>{''.join(f'<p>{title} text {k} <a href=x>link</a></p>' for k in range(n))}<ul><li><a href=x>{title} more</a></li></ul></article></body>"
     w = pages.infer([page("alpha", 2), page("beta", 4), page("gamma", 3)])
     assert w["places"] == ["/body/article"]
     assert pages.main_text(page("delta", 2), w) == "delta delta text 0 link delta text 1 link"
