@@ -147,7 +147,7 @@ def table_facts(files: DataFrame) -> DataFrame:
             for sql in sqlscope.split_statements(c.content) if c.dialect == "sql" else pyscope.sql_statements(c.content) if c.dialect == "python" else []:
                 if facts := statement_summary(sql):
                     kind, sources, targets, keys, kpis = facts
-                    out.append((*head(kind), " ".join(sqlscope.strip_comments(sql).split())[:600], sources, targets, keys, kpis))
+                    out.append((*head(kind), sql.strip(), sources, targets, keys, kpis))
         return out
 
     return _mapped(files.select("path", "file_name", "content", "file_pos"), f, schemas.LINEAGE_V1)

@@ -189,3 +189,11 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "code" / "bad.py").write_bytes(b"def (")
     assert main(["columns", str(tmp_path / "code"), str(tmp_path / "again.xlsx"), "--format", "xlsx"]) == 1
     assert set(files.read_workbook(str(tmp_path / "again.xlsx"))) == {"Column Lineage", "Job Summary"}
+
+
+def test_statements_are_kept_whole(spark):
+    """The transformation logic is the statement as written, whatever its length."""
+    sql = "INSERT INTO gold.wide\nSELECT " + ",\n  ".join(f"o.column_{k} AS c{k}" for k in range(200)) + "\nFROM silver.orders o"
+    rows = [("/c/a.sql", "a.sql", bytearray(sql.encode()), 0)]
+    got = lineage.table_facts(spark.createDataFrame(rows, "path string, file_name string, content binary, file_pos long")).collect()
+    assert [r.transformation_logic for r in got] == [sql]
