@@ -233,18 +233,18 @@ def _bring_up(fp: np.ndarray, chosen: tuple[tuple[int, int], ...]) -> tuple[np.n
 
 
 def links(prints: DataFrame, budget: int, rows: int, most_all: float | None = None) -> DataFrame:
-    """``a, b``: links among classes (named by ``f0``) that have the same components as all links within the budget.
+    """``a, b``: links among classes (named by ``class``) that have the same components as all links within the budget.
 
-    ``prints`` has ``f0, f1, ...``, each f0 once. Two classes link if any of their fingerprints is within the budget; with
+    ``prints`` has ``class, f0, f1, ...``, each class and each row of fingerprints once. Two classes link if any of their fingerprints is within the budget; with
     ``most_all``, only if they also differ in no more than that share of all bits together.
     """
     plans, spark = choices(budget, rows), prints.sparkSession
-    prints = prints.select(*sorted(c for c in prints.columns if c[0] == "f" and c[1:].isdigit()))
-    names, seeds = prints.columns, len(prints.columns)
+    prints = prints.select("class", *sorted((c for c in prints.columns if c[0] == "f" and c[1:].isdigit()), key=lambda c: int(c[1:])))
+    names, seeds = prints.columns, len(prints.columns) - 1
 
     def deal(batches, s):
         for b in batches:
-            fp = b.column(s).to_numpy().view(np.uint64)
+            fp = b.column(1 + s).to_numpy().view(np.uint64)
             for c, chosen in enumerate(plans):
                 key, _ = _bring_up(fp, chosen)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), c, np.int32)), pa.array(key.view(np.int64)), *b.columns], ["c", "key", *names])
@@ -255,7 +255,8 @@ def links(prints: DataFrame, budget: int, rows: int, most_all: float | None = No
             return
         got = pa.Table.from_batches(batches)
         c, key = got.column(0).to_numpy(), got.column(1).to_numpy().view(np.uint64)
-        prints = np.stack([got.column(2 + s).to_numpy().view(np.uint64) for s in range(seeds)])
+        named = got.column(2).to_numpy()
+        prints = np.stack([got.column(3 + s).to_numpy().view(np.uint64) for s in range(seeds)])
         del got, batches
         for one in np.unique(c):
             at = np.flatnonzero(c == one)
@@ -267,7 +268,7 @@ def links(prints: DataFrame, budget: int, rows: int, most_all: float | None = No
                 confirm = lambda i, j, f=f: popcount(f[:, i] ^ f[:, j]).sum(0, dtype=np.int64) <= most_all * 64 * seeds
             i, j = trie_links(key[at], rest, budget, confirm)
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(f[0][i].view(np.int64)), pa.array(f[0][j].view(np.int64))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(named[at[i]]), pa.array(named[at[j]])], ["a", "b"])
 
     def found(s: int) -> DataFrame:
         dealt = prints.mapInArrow(lambda batches: deal(batches, s), "c int, key long, " + ", ".join(f"{n} long" for n in names))
@@ -309,15 +310,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(df: DataFrame, k: int, budget: int, id_col: str = "doc_id", text_col: str = "text", seeds: int = 1, most_all: float | None = None) -> DataFrame:
-    """``doc_id, h, fp, root, component_id`` for every row; rows that share ``f0`` are one class, ``root`` tells components apart."""
+    """``doc_id, h, fp, root, component_id`` for every row; rows that share all fingerprints are one class, ``root`` tells components apart."""
     prints = cut(fingerprints(df, k, id_col, text_col, seeds), "prints")
     names = [f"f{s}" for s in range(seeds)]
-    classes = cut(prints.groupBy("f0").agg(F.min("doc_id").alias("least"), *(F.min(f).alias(f) for f in names[1:])), "classes")
+    classes = prints.groupBy(*names).agg(F.min("doc_id").alias("least"))
+    # Numbers are read back from storage, so they hold.
+    classes = cut(classes.withColumn("class", F.col("f0") if seeds == 1 else F.monotonically_increasing_id()), "classes")
     found = components(links(classes, budget, classes.count(), most_all))
-    rooted = classes.join(found, classes.f0 == found.fp, "left").select("f0", "least", F.coalesce("root", "f0").alias("root"))
+    rooted = classes.join(found, classes["class"] == found.fp, "left").select(*names, "least", F.coalesce("root", "class").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("f0", "root", "component_id")
-    return prints.select("doc_id", "h", "f0").join(named, "f0").select("doc_id", "h", F.col("f0").alias("fp"), "root", "component_id")
+    named = rooted.join(ids, "root").select(*names, "root", "component_id")
+    return prints.join(named, names).select("doc_id", "h", F.col("f0").alias("fp"), "root", "component_id")
 
 
 def keep_first(df: DataFrame, k: int = 5, budget: int = 8, seeds: int = 4, most_all: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -49,3 +49,17 @@ def test_near_duplicates_of_whole_groups(spark):
     out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF)
     kept = {x.doc_id for x in out.collect()}
     assert {4 * g for g in range(60)} <= kept and len(kept) <= 63
+
+
+def test_texts_that_share_one_fingerprint_keep_their_others(spark, monkeypatch):
+    """Two texts share f0; only the second's own f1 is near a third text's."""
+    from pyspark.sql import functions as F
+
+    from rivulet.llm import simhash
+
+    far = (1 << 32) - 1
+    made = {1: (5, 0), 2: (5, far), 3: (5 ^ (far << 20), far ^ 1)}
+    rows = spark.createDataFrame([(d, d, *f) for d, f in made.items()], "doc_id long, h long, f0 long, f1 long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a, **k: rows.select("*"))
+    got = {r.doc_id: r.component_id for r in simhash.groups(rows, 5, 8, seeds=2).select("doc_id", F.col("component_id")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1}
