@@ -235,8 +235,8 @@ def to_ids(joined: list[str]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``ids array<int>`` of every text."""
+def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """``doc_id``, ``ids array<int>`` of every text; with ``decoded`` also ``decoded_sha256``, the digest of the ids decoded again."""
     shared = share(df.sparkSession, path)
 
     def run(batches):
@@ -244,9 +244,13 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             for i, j in blocks(texts):
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), to_ids(c.encode(texts[i:j]))], ["doc_id", "ids"])
+                units = c.units(texts[i:j])
+                out = {"doc_id": ids.slice(i, j - i), "ids": to_ids([" ".join(x) for x in units])}
+                if decoded:
+                    out["decoded_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in c.decode_units(units)], pa.string())
+                yield pa.RecordBatch.from_pydict(out)
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded_sha256 string" * decoded)
 
 
 def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -51,6 +51,14 @@ def test_near_duplicates_of_whole_groups(spark):
     assert {4 * g for g in range(60)} <= kept and len(kept) <= 63
 
 
+def test_last_stage_decodes_its_ids(spark, edge_docs):
+    import hashlib
+
+    got = corpus_pipeline.tokens(spark, edge_docs, SF).select("doc_id", "decoded_sha256").collect()
+    want = [(r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in edge_docs.select("doc_id", "text").collect()]
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
+
+
 def test_texts_that_share_one_fingerprint_keep_their_others(spark, monkeypatch):
     """Two texts share f0; only the second's own f1 is near a third text's."""
     from pyspark.sql import functions as F
