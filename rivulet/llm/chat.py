@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from itertools import groupby
+from itertools import chain, groupby
 from pathlib import Path
 
 import numpy as np
@@ -72,20 +72,22 @@ class Formatter:
         self.tok = Tokenizer.from_str(definition)
         self.tok.encode_special_tokens = True
         self.tok.add_tokens([AddedToken(x, normalized=False) for x in (TURN, TEXT, END)])
-        self._bytes: dict[int, bytes] = {}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that byte-level vocabularies write as themselves
         rest = [b for b in range(256) if b not in set(plain)]
-        self._char = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+        char = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+        added = self.tok.get_added_tokens_decoder()
+        self._bytes = [b""] * (max(self.tok.get_vocab().values()) + 1)
+        for token, i in self.tok.get_vocab().items():
+            self._bytes[i] = token.encode() if i in added else bytes(map(char.__getitem__, token))
 
-    def encode(self, turns: list[tuple[str, str]]) -> tuple[str, list[int], np.ndarray]:
+    def encode(self, turns: list[tuple[str, str]]) -> tuple[str, np.ndarray, np.ndarray]:
         text, spans = render(turns)
         e = self.tok.encode(text, add_special_tokens=False)
-        return text, e.ids, mask(np.array(e.offsets, np.int64).reshape(-1, 2), spans)
+        offsets = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e)).reshape(-1, 2)
+        return text, np.array(e.ids, np.int32), mask(offsets, spans)
 
-    def decode(self, ids: list[int]) -> bytes:
-        for i in set(ids) - self._bytes.keys():
-            self._bytes[i] = bytes(self._char[c] for c in self.tok.id_to_token(i))
-        return b"".join(map(self._bytes.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self._bytes.__getitem__, ids.tolist()))
 
 
 _formatters: dict[int, Formatter] = {}
@@ -125,14 +127,27 @@ def format_conversations(df: DataFrame, tokenizer_path: str, piece: int = PIECE)
 
     def run(batches):
         f = _formatter(definition.value)
+        done, size = [], 0
         for conv, turns in groupby(_rows(batches), key=lambda r: r[0]):
             for k, block in enumerate(pieces(turns)):
-                text, ids, learn = f.encode(block)
-                yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([k], pa.int64()), pa.array([text]), pa.array([ids], pa.list_(pa.int32())), pa.array([learn], pa.list_(pa.bool_()))], ["conv_id", "piece", "text", "input_ids", "loss_mask"])
+                done.append((conv, k, *f.encode(block)))
+                size += len(done[-1][2])
+                if size >= piece:
+                    yield _batch(done)
+                    done, size = [], 0
+        if done:
+            yield _batch(done)
 
     return rows.mapInArrow(run, FORMATTED)
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    conv, k, text, ids, learn = zip(*rows, strict=True)
+    edges = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32())
+    lists = [pa.ListArray.from_arrays(edges, pa.array(np.concatenate(x))) for x in (ids, learn)]
+    return pa.RecordBatch.from_arrays([pa.array(conv, pa.int64()), pa.array(k, pa.int64()), pa.array(text), *lists], ["conv_id", "piece", "text", "input_ids", "loss_mask"])
+
+
 def read_back(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
     """Digests of each conversation from its pieces, which must follow one another as ``format_conversations`` leaves them."""
     spark = formatted.sparkSession
@@ -141,20 +156,33 @@ def read_back(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def one(conv, pieces, f):
         turns, loss, n, chars, total = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
-        for _, _, text, ids, learn in pieces:
+        for _, text, ids, learn in pieces:
             total += len(text)
             for role, body in _turns.findall(text):
                 turns.update(f"{unescape(role)}\n{unescape(body)}\n".encode())
                 n += 1
-            learnt = unescape(f.decode([i for i, x in zip(ids, learn, strict=True) if x]).decode())
+            learnt = unescape(f.decode(ids[learn]).decode())
             loss.update(learnt.encode())
             chars += len(learnt)
         return conv, n, turns.hexdigest(), chars, loss.hexdigest(), total
 
+    def rows(batches):
+        for b in batches:
+            ids, learn = b.column(3), b.column(4)
+            edges, flat, bits = ids.offsets.to_numpy(), ids.values.to_numpy(), learn.values.to_numpy(zero_copy_only=False)
+            starts = learn.offsets.to_numpy()
+            for r, (conv, text) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                yield conv, text, flat[edges[r] : edges[r + 1]], bits[starts[r] : starts[r + 1]]
+
     def run(batches):
-        f = _formatter(definition.value)
-        for conv, pieces in groupby(_rows(batches), key=lambda r: r[0]):
-            yield pa.RecordBatch.from_pylist([dict(zip(names, one(conv, pieces, f), strict=True))], schema=schema)
+        f, done = _formatter(definition.value), []
+        for conv, pieces in groupby(rows(batches), key=lambda r: r[0]):
+            done.append(one(conv, pieces, f))
+            if len(done) == 1000:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in done], schema=schema)
+                done = []
+        if done:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in done], schema=schema)
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     schema = pa.schema([(x, pa.string() if x.endswith("sha256") else pa.int64()) for x in names])
