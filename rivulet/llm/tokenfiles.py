@@ -28,22 +28,26 @@ from pyspark.sql import functions as F
 from .common import id_text, shared_dir, ship
 
 #: Most words that a worker remembers.
-CACHE = 800_000
+CACHE = 1_200_000
 #: Rows in a record batch of a shard.
 BATCH_ROWS = 64
 
 
 class Encoder:
-    """The library's encoder with a memory of words; a text is cut before every space that a non-space follows."""
+    """The library's encoder, with its own flags, and a memory of words.
+
+    A text is cut before every space that a non-space follows, unless it holds one of the vocabulary's added tokens: those
+    may reach over spaces, so such a text goes to the library whole.
+    """
 
     def __init__(self, definition: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task: the library's threads would only contend
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(definition)
-        self.tok.encode_special_tokens = True
+        added = sorted(t.content for t in self.tok.get_added_tokens_decoder().values())
+        self.whole = re.compile("|".join([r" \s", *map(re.escape, filter(None, added))])).search
         self.dtype = dtype
-        self.odd = re.compile(r" \s").search
         self.words: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -55,7 +59,7 @@ class Encoder:
             self.words = {}
         heads, rows, fresh = [], [], set()
         for x in texts:
-            head, *tail = [x] if self.odd(x) or x.endswith(" ") else x.split(" ")
+            head, *tail = [x] if self.whole(x) or x.endswith(" ") else x.split(" ")
             ids = list(map(self.words.get, tail))
             if None in ids:
                 fresh.update(p for p, i in zip(tail, ids, strict=True) if i is None)
