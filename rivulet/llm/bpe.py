@@ -2,10 +2,11 @@
 
 Texts are cut at the pre-tokenizer's boundaries; each different piece becomes token-position rows that join the merge
 table, and a recursive query contracts the leftmost pair of least rank in every piece until none is left. Decoding joins
-id-position rows with the vocabulary and concatenates the bytes in order.
+id-position rows with the vocabulary and aggregates the bytes in order; documents are put together from their pieces by
+ordered aggregation too. Pieces of all lengths go the same way.
 
-A worker remembers the pieces it has seen (at most ``CACHE`` of them, then it starts anew), so that a query runs only
-over new pieces. Null texts count as empty: no ids, no bytes. Null ids give an empty byte string. Repeated rows give
+A worker remembers the pieces it has seen (about ``CACHE`` of them, then it starts anew), so that the recursive query runs
+only over new pieces. Null texts count as empty: no ids, no bytes. Null ids give an empty byte string. Repeated rows give
 repeated results; an empty table gives an empty one; other columns are not looked at.
 """
 
@@ -13,56 +14,53 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
 from .common import id_text, ship
 
-#: Most pieces and most words that a worker remembers.
-CACHE = 600_000
-#: Pieces over so many bytes contract all occurrences of a pair in one round wherever that can't change the result.
-LONG = 192
-
-_HEAD = """
-WITH RECURSIVE t(round, pid, pos, tok) AS (
-  SELECT 0, pid, pos, tok FROM init
+#: Most different pieces that a worker remembers.
+CACHE = 800_000
+#: Rows of all rounds that one recursive query may leave behind, about; what is not done then goes on in another one.
+HISTORY = 6_000_000
+
+#: ``state`` has a row for each token of each piece: where it stands, where the next one stands, its id and the next one's (-1
+#: at the end), and ``rk``: twice the rank of the pair of both, one more if the pair is unsafe, null if there is none.
+#: A round finds each piece's leftmost pair of least rank and contracts it, and with it, where the pair is safe, its other
+#: occurrences; in a run of overlapping ones every other. The row of a contracted pair goes; the next row takes its place.
+#: Pieces without a pair take no part in further rounds.
+_CONTRACT_SQL = """
+CREATE OR REPLACE TEMP TABLE after AS
+WITH RECURSIVE t AS (
+  SELECT 0::INT AS round, pid, pos, npos, l, r, rk FROM state
   UNION ALL
-"""
-_TAIL = """
+  (WITH b AS (
+     SELECT pid, min(rk) AS m, min((rk::BIGINT << 32) + pos) & 4294967295 AS p, arg_min(npos, (rk::BIGINT << 32) + pos) AS dead
+     FROM t WHERE rk IS NOT NULL GROUP BY pid),
+   h AS (SELECT t.pid, t.pos, t.npos, m, p, dead FROM t JOIN b ON b.pid = t.pid AND m = rk WHERE pos <> p AND m % 2 = 0),
+   e AS (
+     SELECT pos, npos, m // 2 AS tok FROM (
+       SELECT *, (n - max(CASE WHEN first THEN n END) OVER (PARTITION BY pid ORDER BY pos)) % 2 = 0 AS hit FROM (
+         SELECT *, row_number() OVER w AS n, coalesce(lag(npos) OVER w, -1) <> pos AS first
+         FROM (SELECT pid, pos, npos, m, p FROM h UNION ALL SELECT DISTINCT pid, p, dead, m, p FROM h)
+         WINDOW w AS (PARTITION BY pid ORDER BY pos)))
+     WHERE hit AND pos <> p),
+   n AS (
+     SELECT t.round + 1 AS round, t.pid, t.npos,
+       CASE WHEN t.pos = dead THEN p::INT ELSE coalesce(x.pos, t.pos) END AS pos,
+       CASE WHEN t.pos = dead THEN m // 2 ELSE coalesce(x.tok, t.l) END AS l,
+       CASE WHEN t.npos = p THEN m // 2 ELSE coalesce(y.tok, t.r) END AS r
+     FROM t JOIN b USING (pid) LEFT JOIN e x ON x.npos = t.pos LEFT JOIN e y ON y.pos = t.npos
+     WHERE t.round < {rounds} AND t.pos <> p AND NOT EXISTS (FROM e WHERE e.pos = t.pos))
+   SELECT n.round, n.pid, n.pos, n.npos, n.l, n.r, g.rk FROM n LEFT JOIN merges g ON g.k = (n.l::BIGINT << 32) + n.r)
 ), last AS (SELECT pid, max(round) AS round FROM t GROUP BY pid)
-SELECT pid, string_agg(tok, ' ' ORDER BY pos) AS ids FROM t JOIN last USING (pid, round) GROUP BY pid ORDER BY pid
+SELECT pid, pos, npos, l, r, rk FROM t JOIN last USING (pid, round)
 """
-#: One contraction per piece and round.
-_SHORT_SQL = f"""{_HEAD}
-  (WITH p AS (
-     SELECT round, pid, pos, tok, lead(tok) OVER w AS nxt, lead(pos) OVER w AS npos
-     FROM t WINDOW w AS (PARTITION BY pid ORDER BY pos)),
-   b AS (
-     SELECT pid, min((g.t::BIGINT << 32) + pos) AS best, arg_min(npos, (g.t::BIGINT << 32) + pos) AS dead
-     FROM p JOIN merges g ON g.l = p.tok AND g.r = p.nxt GROUP BY pid)
-   SELECT p.round + 1, p.pid, p.pos, CASE WHEN p.pos = (b.best & 4294967295) THEN (b.best >> 32)::INT ELSE p.tok END
-   FROM p JOIN b USING (pid) WHERE p.pos <> b.dead)
-{_TAIL}"""
-#: All occurrences of the least pair at once if its token can't open a pair of lower rank; in a run of overlapping ones every other.
-_LONG_SQL = f"""{_HEAD}
-  SELECT round + 1, pid, pos, CASE WHEN hit THEN m ELSE tok END FROM (
-    SELECT *, lag(hit, 1, false) OVER (PARTITION BY pid ORDER BY pos) AS gone FROM (
-      SELECT *, rk = m AND CASE WHEN safe THEN row_number() OVER (PARTITION BY pid, run ORDER BY pos) % 2 = 1
-                                ELSE pos = leftmost END IS TRUE AS hit FROM (
-        SELECT *, min(CASE WHEN rk = m THEN pos END) OVER (PARTITION BY pid) AS leftmost,
-               CASE WHEN rk = m THEN ix - row_number() OVER (PARTITION BY pid, rk = m ORDER BY pos) ELSE -1 - ix END AS run
-        FROM (
-          SELECT p.*, g.t AS rk, g.safe, min(g.t) OVER (PARTITION BY pid) AS m FROM (
-            SELECT round, pid, pos, tok, lead(tok) OVER w AS nxt, row_number() OVER w AS ix
-            FROM t WINDOW w AS (PARTITION BY pid ORDER BY pos)) p
-          LEFT JOIN merges g ON g.l = p.tok AND g.r = p.nxt)
-        WHERE m IS NOT NULL)))
-  WHERE NOT gone
-{_TAIL}"""
+#: The bytes of ``seqs`` (k, ids) in order of token.
 _DECODE_SQL = """
 SELECT k, unhex(string_agg(v.hex, '' ORDER BY i)) AS bytes
 FROM (SELECT k, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM seqs) JOIN vocab v USING (id)
@@ -76,13 +74,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge_rows(ranks: dict[bytes, int]) -> dict[str, list]:
-    """(left id, right id, id of both) of each pair that a merge may contract, and if the pair is safe to contract everywhere.
+    """``k`` (left id, right id) of each pair that a merge may contract, and ``rk``: twice the id of both, one more if unsafe.
 
-    It is, unless a token of lower rank begins or ends with the contracted one: only then can a contraction give a new
+    A pair is unsafe if a token of lower rank begins or ends with the contracted one: only then can a contraction give a new
     pair that goes before the remaining occurrences.
     """
     opens: dict[bytes, int] = {}
-    rows: dict[str, list] = {"l": [], "r": [], "t": [], "safe": []}
+    rows: dict[str, list] = {"k": [], "rk": []}
     for token, rank in ranks.items():
         for k in range(1, len(token)):
             for part in (token[:k], token[k:]):
@@ -91,112 +89,102 @@ def merge_rows(ranks: dict[bytes, int]) -> dict[str, list]:
         for k in range(1, len(token)):
             left, right = ranks.get(token[:k]), ranks.get(token[k:])
             if left is not None and right is not None:
-                for name, value in zip(rows, (left, right, rank, opens.get(token, rank) >= rank), strict=True):
-                    rows[name].append(value)
+                rows["k"].append((left << 32) + right)
+                rows["rk"].append(2 * rank + (opens.get(token, rank) < rank))
     return rows
 
 
 class Codec:
     """Merge table, vocabulary and remembered pieces of one Python worker."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, history: int = HISTORY):
         import duckdb
         import regex
 
-        self.ranks, self.find, self.odd = ranks, regex.compile(pattern).findall, re.compile(r" \s").search
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB"})
-        m = merge_rows(ranks)
-        t = pa.table({k: pa.array(v, pa.bool_() if k == "safe" else pa.int32()) for k, v in m.items()})
-        v = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [b.hex() for b in ranks]})
-        for name, rows in (("merges", t), ("vocab", v)):
-            self.db.register("incoming", rows)
-            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
-            self.db.unregister("incoming")
+        self.ranks, self.find, self.history = ranks, regex.compile(pattern).findall, history
+        # No folder for spills: what a query holds is bounded by ``history`` and by the blocks that it is asked for.
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "800MB", "temp_directory": ""})
+        self._table("merges", {k: pa.array(v, pa.int64() if k == "k" else pa.int32()) for k, v in merge_rows(ranks).items()})
+        self._table("vocab", {"id": pa.array(list(ranks.values()), pa.int32()), "hex": [b.hex() for b in ranks]})
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.pieces: dict[str, str] = {}
-        self.words: dict[str, str] = {}
-        self.bytes: dict[str, bytes] = {}
+        self._forget()
+
+    def _table(self, name: str, columns: dict) -> None:
+        self._with(pa.table(columns), "incoming", f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM incoming")
 
-    def _contract(self, sql: str, pieces: list[bytes]) -> list[str]:
+    def _with(self, rows: pa.Table, name: str, sql: str):
+        self.db.register(name, rows)
+        try:
+            found = self.db.sql(sql)
+            return found.to_arrow_table() if found is not None else None
+        finally:
+            self.db.unregister(name)
+
+    def _forget(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.db.execute("CREATE OR REPLACE TEMP TABLE units (code INT, ids INT[], written VARCHAR, bytes VARCHAR)")
+
+    def contract(self, pieces: list[bytes]) -> pa.Table:
+        """``pid, ids`` of pieces that are not empty."""
         size = np.array([len(p) for p in pieces])
-        pid = np.repeat(np.arange(len(pieces)), size)
-        pos = np.arange(len(pid)) - np.repeat(np.cumsum(size) - size, size)
         tok = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
-        self.db.register("init", pa.table({"pid": pid.astype(np.int32), "pos": pos.astype(np.int32), "tok": tok}))
-        out = self.db.sql(sql).to_arrow_table().column("ids").to_pylist()
-        self.db.unregister("init")
-        return out
+        nxt = np.append(tok[1:], -1).astype(np.int32)
+        nxt[np.cumsum(size) - 1] = -1
+        pos = np.arange(len(tok), dtype=np.int32)
+        start = pa.table({"pid": np.repeat(np.arange(len(pieces), dtype=np.int32), size), "pos": pos, "npos": pos + np.int32(1), "l": tok, "r": nxt, "k": (tok.astype(np.int64) << 32) + nxt})
+        self._with(start, "start", "CREATE OR REPLACE TEMP TABLE state AS SELECT s.* EXCLUDE (k), g.rk FROM start s LEFT JOIN merges g USING (k)")
+        while True:
+            self.db.execute(_CONTRACT_SQL.format(rounds=max(8, self.history // len(tok))))
+            self.db.execute("DROP TABLE state")
+            self.db.execute("ALTER TABLE after RENAME TO state")
+            if not self.db.execute("SELECT count(rk) FROM state").fetchall()[0][0]:
+                break
+        return self.db.sql("SELECT pid, list(l ORDER BY pos) AS ids FROM state GROUP BY pid ORDER BY pid").to_arrow_table()
 
     def _learn(self, pieces: set[str]) -> None:
-        short, long, whole = [], [], self.ranks
+        """New pieces get codes, ids, and bytes, which are those ids decoded again."""
+        whole, parts = [], []
         for p in pieces:
             b = p.encode()
-            if b in whole:
-                self.pieces[p] = str(whole[b])
-            else:
-                (short if len(b) <= LONG else long).append((p, b))
-        for sql, group in ((_SHORT_SQL, short), (_LONG_SQL, long)):
-            group.sort(key=lambda x: len(x[1]))
-            while group:
-                block, size = [], 0
-                while group and size < 400_000:
-                    block.append(group.pop())
-                    size += len(block[-1][1])
-                for (p, _), ids in zip(block, self._contract(sql, [b for _, b in block]), strict=True):
-                    self.pieces[p] = ids
-
-    def units(self, texts: list[str]) -> list[list[str]]:
-        """The ids of each text, decimal and space-joined, in units of whole words or pieces.
-
-        A text is cut before every space that a non-space follows; where white space runs longer than one character
-        with a space in it, the pattern is put to the whole text instead.
-        """
-        if len(self.pieces) > CACHE or len(self.words) > CACHE:
-            self.pieces, self.words, self.bytes = {}, {}, {}
-        heads, tails, known, fresh, new = [], [], [], set(), set()
-        for x in texts:
-            if self.odd(x) or x.endswith(" "):
-                head, tail = x, []
-            else:
-                head, *tail = x.split(" ")
-            ids = list(map(self.words.get, tail))
-            if None in ids:
-                fresh.update(p for p, i in zip(tail, ids, strict=True) if i is None)
-                ids = None
-            heads.append(self.find(head))
-            tails.append(tail)
-            known.append(ids)
-            new.update(heads[-1])
-        split = {p: self.find(" " + p) for p in fresh}
-        for found in split.values():
-            new.update(found)
-        self._learn({p for p in new if p not in self.pieces})
-        piece = self.pieces.__getitem__
-        self.words.update((p, " ".join(map(piece, found))) for p, found in split.items())
-        word = self.words.__getitem__
-        return [[*map(piece, head), *(map(word, tail) if ids is None else ids)] for head, tail, ids in zip(heads, tails, known, strict=True)]
-
-    def encode(self, texts: list[str]) -> list[str]:
-        return [" ".join(x) for x in self.units(texts)]
+            (whole if b in self.ranks else parts).append((p, b))
+        parts.sort(key=lambda x: len(x[1]))
+        tables = []
+        if whole:
+            tables.append(([p for p, _ in whole], pa.array([[self.ranks[b]] for _, b in whole], pa.list_(pa.int32()))))
+        while parts:
+            block, size = [], 0
+            while parts and size < 400_000:
+                block.append(parts.pop())
+                size += len(block[-1][1])
+            tables.append(([p for p, _ in block], self.contract([b for _, b in block]).column("ids")))
+        for names, ids in tables:
+            first = len(self.codes)
+            codes = np.arange(first, first + len(names), dtype=np.int32)
+            self.codes.update(zip(names, codes.tolist(), strict=True))
+            self._with(pa.table({"k": codes, "ids": ids}), "seqs", f"INSERT INTO units SELECT k, ids, array_to_string(ids, ' '), decode(bytes) FROM ({_DECODE_SQL}) JOIN seqs USING (k)")
+
+    def documents(self, texts: list[str], columns: dict[str, str]) -> pa.Table:
+        """``columns``, aggregates over each text's units ``u`` in order ``d.i``, of all texts that are not empty, by ``doc``."""
+        found = list(map(self.find, texts))
+        if len(self.codes) > CACHE:
+            self._forget()
+        if new := set().union(*found).difference(self.codes):
+            self._learn(new)
+        code = self.codes.__getitem__
+        flat = np.array([c for x in found for c in map(code, x)], np.int32)
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x in found])
+        rows = pa.table({"doc": doc, "i": np.arange(len(flat), dtype=np.int32), "code": flat})
+        wanted = ", ".join(f"{sql} AS {name}" for name, sql in columns.items())
+        return self._with(rows, "d", f"SELECT doc, {wanted} FROM d JOIN units u USING (code) GROUP BY doc ORDER BY doc")
 
     def decode(self, ids: pa.Array) -> list[bytes]:
         """The bytes of each list of ids; empty for a null or empty list."""
         out = [b""] * len(ids)
-        self.db.register("seqs", pa.table({"k": np.arange(len(ids)), "ids": ids}))
-        got = self.db.sql(_DECODE_SQL).to_arrow_table()
-        self.db.unregister("seqs")
+        got = self._with(pa.table({"k": np.arange(len(ids)), "ids": ids}), "seqs", _DECODE_SQL)
         for k, b in zip(got.column("k").to_pylist(), got.column("bytes").to_pylist(), strict=True):
             out[k] = b
         return out
 
-    def decode_units(self, units: list[list[str]]) -> list[bytes]:
-        """As ``decode``, from units of ids; each different unit goes through the database once."""
-        new = list(set().union(*units).difference(self.bytes))
-        for i in range(0, len(new), 200_000):
-            block = new[i : i + 200_000]
-            self.bytes.update(zip(block, self.decode(to_ids(block)), strict=True))
-        return [b"".join(map(self.bytes.__getitem__, x)) for x in units]
-
 
 _codecs: dict[tuple[int, str], Codec] = {}
 
@@ -229,28 +217,49 @@ def blocks(texts: list[str], chars: int = 1_500_000) -> Iterator[tuple[int, int]
         yield start, len(texts)
 
 
-def to_ids(joined: list[str]) -> pa.Array:
-    flat = np.fromstring(" ".join(x for x in joined if x), np.int32, sep=" ") if any(joined) else np.zeros(0, np.int32)
-    sizes = [x.count(" ") + 1 if x else 0 for x in joined]
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
+#: What a document's units add up to, in order.
+IDS = "flatten(list(u.ids ORDER BY d.i))"
+N_TOKENS = "sum(len(u.ids))::BIGINT"
+IDS_SHA256 = "sha256(string_agg(u.written, ' ' ORDER BY d.i))"
+DECODED_SHA256 = "sha256(string_agg(u.bytes, '' ORDER BY d.i))"
+_EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
-    """``doc_id``, ``ids array<int>`` of every text; with ``decoded`` also ``decoded_sha256``, the digest of the ids decoded again."""
+def _run(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, columns: dict[str, str], types: dict[str, pa.DataType], ddl: str) -> DataFrame:
     shared = share(df.sparkSession, path)
+    schema = pa.schema([("doc_id", pa.int64()), *types.items()])
 
     def run(batches):
         c = codec(shared, pattern)
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
+            docs, texts = b.column(0), b.column(1).to_pylist()
             for i, j in blocks(texts):
-                units = c.units(texts[i:j])
-                out = {"doc_id": ids.slice(i, j - i), "ids": to_ids([" ".join(x) for x in units])}
-                if decoded:
-                    out["decoded_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in c.decode_units(units)], pa.string())
-                yield pa.RecordBatch.from_pydict(out)
+                got = c.documents(texts[i:j], columns)
+                at = np.full(j - i, -1, np.int64)
+                at[got.column("doc").to_numpy()] = np.arange(len(got))
+                take = pa.array(at, mask=at < 0)
+                out = [docs.slice(i, j - i)]
+                for name, kind in types.items():
+                    x = got.column(name).combine_chunks().cast(kind).take(take)
+                    none = [] if pa.types.is_list(kind) else _EMPTY if pa.types.is_string(kind) else 0
+                    out.append(pa.compute.coalesce(x, pa.scalar(none, kind)) if not pa.types.is_list(kind) else _filled(x))
+                yield pa.RecordBatch.from_arrays(out, schema=schema)
+
+    return id_text(df, id_col, text_col).mapInArrow(run, ddl)
+
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded_sha256 string" * decoded)
+def _filled(x: pa.Array) -> pa.Array:
+    """Nulls in an array of lists as empty lists."""
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(x), 0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), x.flatten())
+
+
+def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """``doc_id``, ``ids array<int>`` of every text; with ``decoded`` also ``decoded_sha256``, the digest of the ids decoded again."""
+    columns, types, ddl = {"ids": IDS}, {"ids": pa.list_(pa.int32())}, "doc_id long, ids array<int>"
+    if decoded:
+        columns["decoded_sha256"], types["decoded_sha256"], ddl = DECODED_SHA256, pa.string(), ddl + ", decoded_sha256 string"
+    return _run(df, path, pattern, id_col, text_col, columns, types, ddl)
 
 
 def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -269,20 +278,6 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
 
 def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text, decode the ids; ``doc_id, n_tokens, ids_sha256, decoded_sha256`` in one pass."""
-    shared = share(df.sparkSession, path)
-
-    def run(batches):
-        c = codec(shared, pattern)
-        for b in batches:
-            docs, texts = b.column(0), b.column(1).to_pylist()
-            for i, j in blocks(texts):
-                units = c.units(texts[i:j])
-                joined = [" ".join(x) for x in units]
-                yield pa.RecordBatch.from_arrays([
-                    docs.slice(i, j - i),
-                    pa.array([x.count(" ") + 1 if x else 0 for x in joined], pa.int64()),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined]),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in c.decode_units(units)]),
-                ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    columns = {"n_tokens": N_TOKENS, "ids_sha256": IDS_SHA256, "decoded_sha256": DECODED_SHA256}
+    types = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    return _run(df, path, pattern, id_col, text_col, columns, types, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

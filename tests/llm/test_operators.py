@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -56,7 +57,7 @@ def test_chat_round_trip(turns):
     f = FORMATTER
     text, ids, learn = f.encode(turns)
     assert [(chat.unescape(a), chat.unescape(b)) for a, b in chat._turns.findall(text)] == turns
-    assert chat.unescape(f.decode([i for i, x in zip(ids, learn, strict=True) if x]).decode()) == "".join(t for r, t in turns if r == "assistant")
+    assert chat.unescape(f.decode(ids[learn]).decode()) == "".join(t for r, t in turns if r == "assistant")
     assert f.decode(ids).decode() == text
 
 
@@ -139,8 +140,8 @@ def test_secret_scan_rows(spark, documents, edge_docs):
 
 def test_token_files(spark, documents, edge_docs):
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
-    for df in (documents, edge_docs):
+    special = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "x<|endoftext|>  <|endoftext|> y\n <|end"), (4, "a b")], "doc_id long, text string")
+    for df in (documents, edge_docs, special):
         folder, manifest = tokenfiles.write(df, JSON, length=64, shards=3)
         got = tokenfiles.read_documents(spark, folder, manifest).collect()
         order = sorted(texts_of(df), key=lambda x: (x[0] is not None, x[0] or 0))
@@ -471,14 +472,33 @@ def test_wand_finds_all_above_threshold(items, query, threshold):
 
 ENCODING = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
 CODEC = bpe.Codec(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+SHORT_OF_BREATH = bpe.Codec(bpe.read_ranks(RANKS), public_tokenizers.PATTERN, history=1)
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab e\n\t\u00a0'sStll9.é日😀\x1c\x85", max_size=60))
 def test_bpe_matches_library(text):
-    (got,) = CODEC.encode([text])
-    assert got == " ".join(map(str, ENCODING.encode_ordinary(text)))
-    assert CODEC.decode_units(CODEC.units([text])) == [text.encode()] and CODEC.decode(bpe.to_ids([got])) == [text.encode()]
+    want = ENCODING.encode_ordinary(text)
+    got = CODEC.documents([text, ""], {"ids": bpe.IDS, "bytes": "string_agg(u.bytes, '' ORDER BY d.i)"}).to_pylist()
+    assert got == ([{"doc": 0, "ids": want, "bytes": text}] if text else [])
+    assert CODEC.decode(pa.array([want, None], pa.list_(pa.int32()))) == [text.encode(), b""]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.text(alphabet="aab", max_size=100), st.integers(1, 8))
+def test_bpe_runs_and_bounded_history(text, again):
+    """Runs with overlapping pairs; a query that stops after some rounds goes on where it stood."""
+    text = text * again
+    for codec in (CODEC, SHORT_OF_BREATH):
+        codec._forget()
+        got = codec.documents([text, "x"], {"ids": bpe.IDS}).to_pylist()
+        assert got[:-1] == ([{"doc": 0, "ids": ENCODING.encode_ordinary(text)}] if text else [])
+
+
+def test_bpe_forgets(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 3)
+    for text in ("one two three four five", "two three", "six seven eight two"):
+        assert CODEC.documents([text], {"ids": bpe.IDS}).column("ids").to_pylist() == [ENCODING.encode_ordinary(text)]
 
 
 def test_bpe_rows(documents, edge_docs):
