@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["cut", "id_text", "mix", "ngram_hashes", "replace_column", "shared_dir", "ship", "word_hashes"]
+__all__ = ["column_name", "cut", "fresh", "id_text", "mix", "ngram_hashes", "replace_column", "shared_dir", "ship", "word_hashes"]
 
 _folders: dict[str, str] = {}
 
@@ -42,6 +42,19 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def column_name(df: DataFrame, name: str) -> str:
+    """The column's name as ``df`` spells it: found as Spark finds it, exactly if there is such a one, else in any case."""
+    return name if name in df.columns else next((c for c in df.columns if c.lower() == name.lower()), name)
+
+
 def replace_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     k = batch.schema.get_field_index(name)
     return batch.set_column(k, batch.schema.field(k), values.cast(batch.schema.field(k).type))

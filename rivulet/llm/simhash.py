@@ -11,12 +11,18 @@ bits. What a task gets is a forest of tries whose first levels are those bits: i
 A pair of nodes whose leaves are all linked already is left too, so a group of n near-copies costs and gives about n
 links, not n squared. No choice of runs misses a link, whatever the size: the choice only sets how many rows are dealt.
 
+The stage ``keep_first`` takes the different five-word shingles of a text and four fingerprints, 256 bits. SimHash tells the
+angle between two texts' sets of shingles, so its similarity is their cosine, |A and B| / sqrt(|A| |B|); two texts link at
+``similarity`` 0.8 or more. (A share of common shingles, Jaccard, of 0.8 is a cosine of 0.88 or more and links too.) The
+trie join proposes pairs whose 256 bits are near enough; every link is then confirmed on the shingles themselves.
+
 Null texts count as empty. Null ids are never a component's id unless a whole component has none, whose id is null.
 Repeated rows each get their row. An empty table gives an empty one. Other columns play no part.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
@@ -26,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, ship
+from .common import cut, fresh, id_text, ship
 
 SEED = 42
 #: Pairs of leaves compared at a time.
@@ -57,21 +63,37 @@ def bits_of(h: np.ndarray, block: int = 1 << 15) -> int:
     return int(np.packbits((2 * total > len(h)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", seeds: int = 1) -> DataFrame:
-    """``doc_id``, ``h`` (a hash of the text) and ``f0, f1, ...``: the fingerprint, and others from re-mixed shingle hashes."""
+def fingerprints(df: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``h`` (a hash of the text) and ``f0``, the fingerprint."""
+    ship(df.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                prints = np.array([bits_of(shingle_hashes(x.encode(), k)) for x in part.column(1).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(prints.view(np.int64))], ["doc_id", "h", "f0"])
+
+    rows = id_text(df, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, h long, f0 long")
+
+
+def sketches(df: DataFrame, k: int, prints: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``h``, ``own`` (a hash of the set of shingles) and ``f0, f1, ...``, fingerprints of that set."""
     ship(df.sparkSession)
-    names = ["doc_id", "h", *(f"f{s}" for s in range(seeds))]
+    names = ["doc_id", "h", "own", *(f"f{s}" for s in range(prints))]
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
-                prints = np.zeros((seeds, part.num_rows), np.uint64)
+                out = np.zeros((prints + 1, part.num_rows), np.uint64)
                 for r, x in enumerate(part.column(1).to_pylist()):
-                    h = shingle_hashes(x.encode(), k)
-                    for s in range(seeds):
-                        prints[s, r] = bits_of(remix(h, s) if s else h)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(x.view(np.int64)) for x in prints)], names)
+                    h = np.unique(shingle_hashes(x.encode(), k))
+                    out[0, r] = xxhash.xxh64_intdigest(h.tobytes(), SEED)
+                    for s in range(prints):
+                        out[s + 1, r] = bits_of(remix(h, s) if s else h)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(x.view(np.int64)) for x in out)], names)
 
     rows = id_text(df, id_col, text_col).withColumn("h", F.xxhash64("text"))
     return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
@@ -129,11 +151,11 @@ class Links:
         return (c[hi_a - 1] == c[lo_a]) & (c[hi_b - 1] == c[lo_b]) & (self.label[lo_a] == self.label[lo_b])
 
 
-def trie_links(key: np.ndarray, bits: np.ndarray, budget: int, confirm=None) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(key: np.ndarray, bits: np.ndarray, budget: int, distance=None, steps: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """A forest of links among leaves that agree on ``key`` and differ in ``budget`` or fewer of ``bits``.
 
-    Rows are sorted by (key, bits) and differ pairwise. A node is a range of rows that agree on the key and the first
-    bits; ``confirm(i, j)`` may refuse pairs of rows.
+    Rows are sorted by (key, bits). A node is a range of rows that agree on the key and the first bits. With
+    ``distance(i, j)``, pairs of rows further apart than the last of ``steps`` don't link, and nearer pairs, by steps, link first.
     """
     n = len(key)
     links = Links(n)
@@ -143,10 +165,12 @@ def trie_links(key: np.ndarray, bits: np.ndarray, budget: int, confirm=None) ->
     def link(i: np.ndarray, j: np.ndarray) -> None:
         ok = popcount(bits[i] ^ bits[j]) <= budget
         i, j = i[ok], j[ok]
-        if confirm is not None and len(i):
-            ok = confirm(i, j)
-            i, j = i[ok], j[ok]
-        links.add(i, j)
+        if distance is None or not len(i):
+            links.add(i, j)
+            return
+        d = distance(i, j)
+        for step in steps:
+            links.add(i[d <= step], j[d <= step])
 
     i = np.flatnonzero(key[1:] == key[:-1])
     link(i, i + 1)  # neighbours: near-copies become few groups at once
@@ -208,12 +232,13 @@ def trie_links(key: np.ndarray, bits: np.ndarray, budget: int, confirm=None) ->
 # --- the join over the cluster
 
 
-def choices(budget: int, rows: int) -> list[tuple[tuple[int, int], ...]]:
+def choices(budget: int, rows: int, together: int = 11) -> list[tuple[tuple[int, int], ...]]:
     """For each choice of runs of bits, its (first bit, bits) from the top.
 
-    The more runs must agree, the fewer random rows share a key (here about 2,000 at most) and the more choices there are.
+    The more runs must agree, the fewer random rows share a key (here about 2 ** ``together`` at most) and the more choices
+    there are.
     """
-    need = max(6, int(rows).bit_length() - 11)
+    need = max(6, int(rows).bit_length() - together)
     for spare in range(1, 5):
         edges = [round(64 * k / (budget + spare)) for k in range(budget + spare + 1)]
         runs = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
@@ -232,24 +257,25 @@ def _bring_up(fp: np.ndarray, chosen: tuple[tuple[int, int], ...]) -> tuple[np.n
     return key, fp & np.uint64(~mask & (1 << 64) - 1)
 
 
-def links(prints: DataFrame, budget: int, rows: int, most_all: float | None = None) -> DataFrame:
-    """``a, b``: links among classes (named by ``class``) that have the same components as all links within the budget.
+def links(prints: DataFrame, plans: list[tuple[tuple[int, int], ...]], budget: int, own: int = 0, steps: tuple[int, ...] = ()) -> DataFrame:
+    """``a, b`` (and ``d``, with ``steps``): links among classes that have the same components as all links within the budget.
 
-    ``prints`` has ``class, f0, f1, ...``, each class and each row of fingerprints once. Two classes link if any of their fingerprints is within the budget; with
-    ``most_all``, only if they also differ in no more than that share of all bits together.
+    ``prints`` has ``class, f0, f1, ...``, a row for each class. Classes are dealt by each of the ``plans`` of fingerprint
+    ``own`` and link if that differs in ``budget`` or fewer bits; with ``steps``, only if all fingerprints together differ in
+    no more bits than its last (``d`` of them).
     """
-    plans, spark = choices(budget, rows), prints.sparkSession
     prints = prints.select("class", *sorted((c for c in prints.columns if c[0] == "f" and c[1:].isdigit()), key=lambda c: int(c[1:])))
     names, seeds = prints.columns, len(prints.columns) - 1
+    schema = "a long, b long" + ", d int" * bool(steps)
 
-    def deal(batches, s):
+    def deal(batches):
         for b in batches:
-            fp = b.column(1 + s).to_numpy().view(np.uint64)
+            fp = b.column(1 + own).to_numpy().view(np.uint64)
             for c, chosen in enumerate(plans):
                 key, _ = _bring_up(fp, chosen)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), c, np.int32)), pa.array(key.view(np.int64)), *b.columns], ["c", "key", *names])
 
-    def join(batches, s):
+    def join(batches):
         batches = list(batches)
         if not sum(b.num_rows for b in batches):
             return
@@ -260,28 +286,17 @@ def links(prints: DataFrame, budget: int, rows: int, most_all: float | None = No
         del got, batches
         for one in np.unique(c):
             at = np.flatnonzero(c == one)
-            rest = _bring_up(prints[s][at], plans[one])[1]
+            rest = _bring_up(prints[own][at], plans[one])[1]
             order = np.lexsort((rest, key[at]))
             at, rest = at[order], rest[order]
-            f, confirm = prints[:, at], None
-            if most_all is not None:
-                confirm = lambda i, j, f=f: popcount(f[:, i] ^ f[:, j]).sum(0, dtype=np.int64) <= most_all * 64 * seeds
-            i, j = trie_links(key[at], rest, budget, confirm)
+            distance = lambda i, j, f=prints[:, at]: popcount(f[:, i] ^ f[:, j]).sum(0, dtype=np.int32)
+            i, j = trie_links(key[at], rest, budget, distance if steps else None, steps)
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(named[at[i]]), pa.array(named[at[j]])], ["a", "b"])
+                ends = [pa.array(named[at[i]]), pa.array(named[at[j]])]
+                yield pa.RecordBatch.from_arrays([*ends, pa.array(distance(i, j))] if steps else ends, ["a", "b", "d"][: 2 + bool(steps)])
 
-    def found(s: int) -> DataFrame:
-        dealt = prints.mapInArrow(lambda batches: deal(batches, s), "c int, key long, " + ", ".join(f"{n} long" for n in names))
-        return dealt.repartition("c", "key").mapInArrow(lambda batches: join(batches, s), "a long, b long").distinct()
-
-    if seeds == 1:
-        return found(0)
-    # One fingerprint after the other, so that only one's dealt rows are on disk at a time.
-    parts = []
-    for s in range(seeds):
-        parts.append(cut(found(s), "links"))
-        spark.sparkContext._jvm.System.gc()  # Spark drops the files of shuffles that nothing refers to
-    return reduce(DataFrame.union, parts).distinct()
+    dealt = prints.mapInArrow(deal, "c int, key long, " + ", ".join(f"{n} long" for n in names))
+    return dealt.repartition("c", "key").mapInArrow(join, schema).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -309,39 +324,130 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("fp"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("fp"), F.col("b").alias("root"))).distinct()
 
 
-def groups(df: DataFrame, k: int, budget: int, id_col: str = "doc_id", text_col: str = "text", seeds: int = 1, most_all: float | None = None) -> DataFrame:
-    """``doc_id, h, fp, root, component_id`` for every row; rows that share all fingerprints are one class, ``root`` tells components apart."""
-    prints = cut(fingerprints(df, k, id_col, text_col, seeds), "prints")
-    names = [f"f{s}" for s in range(seeds)]
-    classes = prints.groupBy(*names).agg(F.min("doc_id").alias("least"))
-    # Numbers are read back from storage, so they hold.
-    classes = cut(classes.withColumn("class", F.col("f0") if seeds == 1 else F.monotonically_increasing_id()), "classes")
-    found = components(links(classes, budget, classes.count(), most_all))
-    rooted = classes.join(found, classes["class"] == found.fp, "left").select(*names, "least", F.coalesce("root", "class").alias("root"))
+def groups(df: DataFrame, k: int, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, h, fp, component_id`` for every row; equal fingerprints are one class."""
+    prints = cut(fingerprints(df, k, id_col, text_col), "prints")
+    classes = cut(prints.groupBy("f0").agg(F.min("doc_id").alias("least")).withColumn("class", F.col("f0")), "classes")
+    found = components(links(classes, choices(budget, classes.count()), budget))
+    rooted = classes.join(found, classes["class"] == found.fp, "left").select("f0", "least", F.coalesce("root", "class").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select(*names, "root", "component_id")
-    return prints.join(named, names).select("doc_id", "h", F.col("f0").alias("fp"), "root", "component_id")
+    named = rooted.join(ids, "root").select("f0", "component_id")
+    return prints.join(named, "f0").select("doc_id", "h", F.col("f0").alias("fp"), "component_id")
+
+
+#: Fingerprints of a sketch; bits in which one may differ; errors that a choice of runs is sure to bear (beyond them a pair
+#: is found where its errors leave runs free, in one of ``PRINTS`` times 36 choices or more).
+PRINTS, REACH, SURE = 4, 16, 7
+#: Of all bits those in which linked texts may differ: at a cosine of 0.8 0.205 are expected, with a deviation of 0.025.
+APART = 0.27
+#: Turns in which each component asks for its nearest link only; after them all links that are left are asked for.
+TURNS = 3
+
+
+def cosine(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two sorted sets of hashes; empty sets are alike."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    return len(np.intersect1d(a, b, assume_unique=True)) / math.sqrt(len(a) * len(b))
 
 
-def keep_first(df: DataFrame, k: int = 5, budget: int = 8, seeds: int = 4, most_all: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group: of least id, then of least hash of the text; of rows alike in both, any one.
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` of classes whose sets are similar enough."""
 
-    At a five-word similarity of 0.8 texts differ in about 0.15 of the bits, by chance sometimes in more. Of a sample's pairs
-    with 0.8 or more, the defaults linked 0.86 directly (with one fingerprint 0.3), and more by way of third texts; of unlike
-    texts none.
+    def run(batches):
+        for b in batches:
+            a, z = b.column(2), b.column(3)
+            sides = [(x.offsets.to_numpy(), x.values.to_numpy()) for x in (a, z)]
+            ok = [cosine(*(values[edges[r] : edges[r + 1]] for edges, values in sides)) >= similarity - 1e-9 for r in range(b.num_rows)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    first = sets.select(F.col("class").alias("a"), F.col("hashes").alias("ha"))
+    second = sets.select(F.col("class").alias("b"), F.col("hashes").alias("hb"))
+    return pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+
+
+def _sets(df: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """``class, hashes`` of the texts named by ``wanted`` (class, doc_id, h)."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 200):
+                part = b.slice(i, 200)
+                sets = [np.unique(shingle_hashes(x.encode(), k)).view(np.int64) for x in part.column(1).to_pylist()]
+                sets = [np.sort(x) for x in sets]
+                edges = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(edges, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], ["class", "hashes"])
+
+    texts = id_text(df, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    wanted = wanted.select("class", F.col("doc_id").alias("wanted_id"), F.col("h").alias("wanted_h"))
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    found = texts.join(side, F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("h") == F.col("wanted_h")))
+    return found.select("class", "text").mapInArrow(run, "class long, hashes array<long>").dropDuplicates(["class"])
+
+
+def similar(df: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``root, doc_id, h``: for each different set of shingles the root of its component and the first row that has it.
+
+    First is the least id (null last), then the least hash of the text. Also ``class``.
+    """
+    names = [f"f{s}" for s in range(PRINTS)]
+    prints = cut(sketches(df, k, PRINTS, id_col, text_col), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "h")).alias("first")
+    # Numbers are read back from storage, so they hold.
+    classes = cut(prints.groupBy("own", *names).agg(first).withColumn("class", F.monotonically_increasing_id()), "classes")
+    plans = choices(SURE, classes.count(), 9)
+    most = int(APART * 64 * PRINTS)
+    steps = tuple(most * s // 8 for s in range(2, 9))
+    parts = [cut(links(classes, plans, REACH, s, steps), "links") for s in range(PRINTS)]
+    near = reduce(DataFrame.union, parts).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
+    near = cut(near.groupBy("a", "b").agg(F.min("d").alias("d")), "near")
+    own = classes.select("class", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"))
+    ends = near.select(F.col("a").alias("class")).union(near.select(F.col("b").alias("class"))).distinct()
+    sets = cut(_sets(df, own.join(ends, "class", "left_semi"), k, id_col, text_col), "sets")
+    links_, label = _confirmed_links(near, sets, similarity)
+    return own.join(label, own["class"] == label.fp, "left").select(F.coalesce("root", "class").alias("root"), "class", "doc_id", "h")
+
+
+def _confirmed_links(near: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links that have the components of all confirmed ones among ``near`` (a, b, d), and those components.
+
+    Texts are compared where that can still join two components: for some turns each component's nearest link, then the rest.
     """
-    found = cut(groups(df, k, budget, id_col, text_col, seeds, most_all).select("doc_id", "h", "root"), "groups")
+    rest, links_ = near.withColumns({"la": F.col("a"), "lb": F.col("b")}), None
+    for turn in range(TURNS + 1):
+        asked = rest.select("a", "b")
+        if turn < TURNS:
+            both = rest.select(F.explode(F.array("la", "lb")).alias("l"), F.struct("d", "a", "b").alias("x"))
+            asked = cut(both.groupBy("l").agg(F.min("x").alias("x")).select("x.a", "x.b").distinct(), "asked")
+        found = cut(_confirmed(asked, sets, similarity), "confirmed")
+        links_ = found if links_ is None else links_.union(found)
+        label = cut(components(links_), "label")
+        if turn == TURNS:
+            break
+        left = rest.select("a", "b", "d").join(asked, ["a", "b"], "left_anti")
+        for end, name in (("a", "la"), ("b", "lb")):
+            left = left.join(label.select(F.col("fp").alias(end), F.col("root").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
+        rest = cut(left.where("la <> lb").select("a", "b", "d", "la", "lb"), "rest")
+        if rest.isEmpty():
+            break
+    return links_, label
+
+
+def keep_first(df: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of similar texts: of least id (null last), then of least hash of the text; of rows alike in both,
+    any one."""
+    found = similar(df, k, similarity, id_col, text_col)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "h")).alias("first"))
-    first = cut(first, "first")  # so that the join's side with a large group can be split
-    marked = found.join(first, "root")
-    stay = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
-    gone = marked.where(~stay).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
-    again = found.groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"))
-    key = F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__h"))
-    gone = cut(gone, "gone")
+    d, h = fresh(df, "d"), fresh(df, "h")
+    first = first.select(F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h"))
+    rows = id_text(df, id_col, text_col).select(F.col("doc_id").alias(d), F.xxhash64("text").alias(h))
+    rows = cut(rows.groupBy(d, h).count(), "rows")  # repeated rows are one here, so no key is hot
+    gone = cut(rows.join(first, F.col(d).eqNullSafe(F.col("first_id")) & (F.col(h) == F.col("first_h")), "left_anti").select(d, h), "gone")
+    again = rows.where("count > 1").select(d, h)
+    key = F.col(id_col).cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(h))
     kept = df.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti")
     if again.isEmpty():
         return kept
-    columns = df.columns
-    repeated = kept.join(again, key, "left_semi").withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).dropDuplicates([id_col, "__h"]).select(*columns)
+    columns, own = df.columns, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    repeated = kept.join(again, key, "left_semi").withColumn(h, own).dropDuplicates([id_col, h]).select(*(F.col(f"`{c}`") for c in columns))
     return kept.join(again, key, "left_anti").union(repeated)

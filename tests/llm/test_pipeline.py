@@ -59,15 +59,61 @@ def test_last_stage_decodes_its_ids(spark, edge_docs):
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
 
 
-def test_texts_that_share_one_fingerprint_keep_their_others(spark, monkeypatch):
-    """Two texts share f0; only the second's own f1 is near a third text's."""
-    from pyspark.sql import functions as F
+def test_similar_against_brute_force(spark):
+    """Components are those of links at a cosine of 0.8, and no pair with a Jaccard similarity of 0.8 is lost."""
+    import random
+
+    import numpy as np
 
     from rivulet.llm import simhash
 
-    far = (1 << 32) - 1
-    made = {1: (5, 0), 2: (5, far), 3: (5 ^ (far << 20), far ^ 1)}
-    rows = spark.createDataFrame([(d, d, *f) for d, f in made.items()], "doc_id long, h long, f0 long, f1 long")
-    monkeypatch.setattr(simhash, "fingerprints", lambda *a, **k: rows.select("*"))
-    got = {r.doc_id: r.component_id for r in simhash.groups(rows, 5, 8, seeds=2).select("doc_id", F.col("component_id")).collect()}
-    assert got == {1: 1, 2: 1, 3: 1}
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    texts = [x.text or "" for x in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for g in range(80):
+        base = [r.choice(words) for _ in range(r.choice((60, 150, 400)))]
+        for _ in range(r.choice((2, 3, 9))):
+            w = list(base)
+            for _ in range(r.randrange(1, max(2, len(w) // 25))):
+                w[r.randrange(len(w))] = r.choice(words)
+            texts.append(" ".join(w))
+    sets = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.root for x in simhash.similar(df).collect()}
+    one = {}
+    for k, t in enumerate(sets):
+        one.setdefault(t.tobytes(), k)  # a row for each set, its first
+    assert set(got) == set(one.values())
+    members, parent = sorted(got), {k: k for k in got}
+
+    def top(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    near, like = [], 0
+    for i, a in enumerate(members):
+        for b in members[i + 1 :]:
+            if min(len(sets[a]), len(sets[b])) < 0.6 * max(len(sets[a]), len(sets[b])):
+                continue
+            c = simhash.cosine(sets[a], sets[b])
+            if c >= 0.8 - 1e-9:
+                near.append((a, b))
+                parent[top(a)] = top(b)
+                common = c * (len(sets[a]) * len(sets[b])) ** 0.5
+                if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+                    like += 1
+                    assert got[a] == got[b]
+    assert like > 50 and sum(got[a] == got[b] for a, b in near) >= 0.98 * len(near)
+    for a in members:
+        assert {b for b in members if got[b] == got[a]} <= {b for b in members if top(b) == top(a)}
+
+
+def test_near_duplicates_with_odd_columns(spark):
+    text = " ".join(f"word{k}" for k in range(40))
+    df = spark.createDataFrame([(2, text, 1, 2), (1, text + " more", 3, 4), (None, text, 5, 6), (2, text, 7, 8), (5, "", 9, 9), (5, None, 9, 9)], "doc_id long, TEXT string, d int, H int")
+    from rivulet.llm import simhash
+
+    got = simhash.keep_first(df)
+    assert got.columns == df.columns
+    assert sorted((x.doc_id, (x.TEXT or "")[-4:]) for x in got.collect()) == [(1, "more"), (5, "")]
