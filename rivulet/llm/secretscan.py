@@ -24,7 +24,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, replace_column, ship
+from .common import column_name, id_text, replace_column, ship
 
 KINDS = ("assign", "access", "hex")
 ADDED = "format"
@@ -243,6 +243,22 @@ def learn(labelled: dict[str, list[str]]) -> dict[str, Automaton]:
     return {k: Automaton(least(xs)) for k, xs in sorted(labelled.items()) if xs}
 
 
+def labelled_rows(rows: DataFrame, label_col: str = "label", text_col: str = "text") -> dict[str, list[str]]:
+    """Labelled examples from a table: of each label the ``MAX_EXAMPLES`` different ones of least hash. Nulls are left out."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    found = rows.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("x")).where("label IS NOT NULL AND x <> ''").distinct()
+    # A label's examples are cut down in groups first, so that no task sorts a label with very many.
+    for part in (F.pmod(F.xxhash64("x"), F.lit(256)), F.lit(0)):
+        w = Window.partitionBy("label", part).orderBy(F.sha2("x", 256))
+        found = found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= MAX_EXAMPLES).drop("n")
+    out: dict[str, list[str]] = defaultdict(list)
+    for r in found.toLocalIterator():
+        out[r.label].append(r.x)
+    return {k: sorted(v) for k, v in sorted(out.items())}
+
+
 def _starts(text: str, prefix: str):
     """Where a format may begin: at its literal start, wherever that is; without one at each part of a run."""
     if prefix:
@@ -267,9 +283,12 @@ def scan(text: str, automata: dict[str, Automaton]) -> tuple[list[tuple[int, int
             if a >= upto and (b := x.longest(text, a, dead)) is not None:
                 found.append((a, b))
                 upto = b
-    more, upto = [], 0
+    more, upto, k, held = [], 0, 0, 0
     for a, b in sorted(found, key=lambda f: (f[0], -f[1])):
-        if b > upto and not any(s <= a and b <= e for s, _, e in base):
+        while k < len(base) and base[k][0] <= a:  # ``held``: how far the rules' spans that begin by here reach
+            held = max(held, base[k][2])
+            k += 1
+        if b > upto and b > held:
             more.append((a, len(KINDS), b))
             upto = b
     return base, sorted(base + more)
@@ -312,6 +331,7 @@ def redact(df: DataFrame, labelled: dict[str, list[str]] | None = None, text_col
     spark = df.sparkSession
     ship(spark)
     model = spark.sparkContext.broadcast(learn(labelled or labelled_credentials()))
+    text_col, chars_col = column_name(df, text_col), chars_col and column_name(df, chars_col)
     names = df.columns
 
     def run(batches):
