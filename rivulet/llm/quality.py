@@ -16,24 +16,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, ngram_hashes, replace_column, ship, word_hashes
+from .common import column_name, id_text, ngram_hashes, replace_column, ship, word_hashes
 
 WINDOW, MIN_WORDS, MAX_REPEAT_PCT = 8, 20, 30
 #: Least share of a document's words in lines that stay.
 MIN_LEFT = 0.5
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
+#: A word, wherever words are counted.
+_words = re.compile(r"[^\x20\x09-\x0D]+").findall
 _boilerplate = re.compile(
     r"all rights reserved|\b(?:licen[sc]ed|released|distributed) under\b|\bcopyright (?:©|\(c\)|\d{4})|\bcookies?\b.*\b(?:accept|policy|consent)"
-    r"|\bprivacy policy\b|\bterms (?:of (?:use|service)|and conditions)\b|\bsubscribe (?:now|to)\b|\bclick here\b|\bsign (?:in|up) (?:to|for|now)\b|\benable javascript\b|\blorem ipsum\b",
-    re.I,
+    r"|\bprivacy policy\b|\bterms (?:of (?:use|service)|and conditions)\b|\bsubscribe (?:now|to)\b|\bclick here\b|\bsign (?:in|up) (?:to|for|now)\b|\benable javascript\b|\blorem ipsum\b"
+    r"|tous droits réservés|politique de confidentialité|\bcliquez ici\b|\babonnez-vous\b|alle rechte vorbehalten|datenschutzerklärung|\bhier klicken\b|\bjetzt abonnieren\b"
+    r"|todos los derechos reservados|política de privacidad|\bhaga clic aquí\b|\bsuscríbase\b",
+    re.I | re.A,
 )
 _sentence = re.compile(r"[.!?;:,。！？؟…]")
 
 
 def line_fails(line: str) -> str | None:
     """The first rule that a line with at least one word fails."""
-    words = line.split()
+    words = _words(line)
     n = len(words)
     if n <= 25 and _boilerplate.search(line):
         return "boilerplate"
@@ -122,6 +126,7 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def clean(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """The documents that stay, with their failing lines removed; all other columns as they are (``chars_col`` recounted)."""
     ship(df.sparkSession)
+    text_col, chars_col = column_name(df, text_col), chars_col and column_name(df, chars_col)
     names = df.columns
 
     def run(batches):

@@ -122,7 +122,7 @@ judged AS (
 ), failed AS (
   SELECT doc_id, len(w) AS n, again,
     again
-    OR (len(w) <= 25 AND regexp_matches(line, '(?i)all rights reserved|\b(?:licen[sc]ed|released|distributed) under\b|\bcopyright (?:©|\(c\)|\d{4})|\bcookies?\b.*\b(?:accept|policy|consent)|\bprivacy policy\b|\bterms (?:of (?:use|service)|and conditions)\b|\bsubscribe (?:now|to)\b|\bclick here\b|\bsign (?:in|up) (?:to|for|now)\b|\benable javascript\b|\blorem ipsum\b'))
+    OR (len(w) <= 25 AND regexp_matches(line, '(?i)all rights reserved|\b(?:licen[sc]ed|released|distributed) under\b|\bcopyright (?:©|\(c\)|\d{4})|\bcookies?\b.*\b(?:accept|policy|consent)|\bprivacy policy\b|\bterms (?:of (?:use|service)|and conditions)\b|\bsubscribe (?:now|to)\b|\bclick here\b|\bsign (?:in|up) (?:to|for|now)\b|\benable javascript\b|\blorem ipsum\b|tous droits réservés|politique de confidentialité|\bcliquez ici\b|\babonnez-vous\b|alle rechte vorbehalten|datenschutzerklärung|\bhier klicken\b|\bjetzt abonnieren\b|todos los derechos reservados|política de privacidad|\bhaga clic aquí\b|\bsuscríbase\b'))
     OR length(line) - length(replace(line, '|', '')) >= greatest(2, 0.15 * len(w))
     OR (len(w) >= 3 AND length(line) - length(translate(line, '#*$%&|<>', '')) > 0.6 * len(w))
     OR (len(w) >= 3 AND (length(line) - length(replace(line, '!!', ''))) / 2 > 0.3 * len(w))
