@@ -4,8 +4,9 @@ Words are runs of letters and digits in lower case (all non-ASCII characters cou
 passages of ``2 * step`` words, one every ``step`` words, so that whatever spans ``step`` words lies whole in one of
 them; ``step`` is a quarter more than the longest item of the index.
 
-An item is contaminating where a passage holds ``SHARE`` or more of its different ``SHINGLE``-word sequences, question
-and answer together (the last sentence is the answer). Such a passage lacks at most a known number of the item's words,
+An item is contaminating where a passage holds ``SHARE`` or more of its different ``SHINGLE``-word sequences, and of its
+question's sequences and its answer's words ``PART`` or more each (the last sentence is the answer; an item of one sentence
+is both). So neither a question without its answer nor an answer without its question makes a document go. Such a passage lacks at most a known number of the item's words,
 so the item's BM25 score is at least its full score less that of its heaviest words: this is the item's threshold, and
 dividing weights by it makes the threshold one for all items. Retrieval therefore loses nothing that would be verified.
 
@@ -14,9 +15,10 @@ the greatest weights in blocks of items to skip blocks. Two of its bounds are pu
 passage whose terms' greatest weights sum to less than the threshold has no pivot, and one whose block weights do so for
 each block would have each block skipped. What is retrieved is verified on the words.
 
-The items are read to the driver a partition at a time, in blocks of ``ITEMS``; each block is an index, and ``GROUP``
-indexes are one broadcast (some 4,000 items, tens of MB). A larger benchmark makes more groups, and each document is put
-to each of them in turn. Null texts count as empty; empty items match nothing; null ids are kept as they are; repeated
+The items are read to the driver a partition at a time, twice: for the benchmark's statistics (in how many items each word
+is, the mean length), which all weights share, and in blocks of ``ITEMS``; each block is an index, and ``GROUP`` indexes are
+one broadcast (some 4,000 items, tens of MB). ``PASS`` broadcasts are put to the documents in one scan; a benchmark of more
+than some 30,000 items takes another. Null texts count as empty; empty items match nothing; null ids are kept as they are; repeated
 rows give repeated rows. An empty table gives an empty one. Other columns pass through ``without`` untouched.
 """
 
@@ -25,19 +27,24 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
+from collections.abc import Iterable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, ship, word_hashes
+from .common import column_name, id_text, ship, word_hashes
 
 SHINGLE, SHARE = 5, 0.8
 K1, B = 1.2, 0.75
 #: Items in one index, in one block of a posting list, and indexes in one broadcast.
 ITEMS, BLOCK, GROUP = 512, 8, 8
+#: Broadcasts in one scan of the documents.
+PASS = 8
+#: Least share of the question's sequences, and of the answer's words.
+PART = 0.5
 #: The threshold, less what sums in single precision may lack.
 NEARLY = np.float32(0.999)
 _SEPARATOR = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
@@ -54,10 +61,25 @@ def shingles(words: list[bytes], k: int = SHINGLE) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
+def summed(items: Iterable[list[bytes]]) -> tuple[int, float, dict[bytes, int]]:
+    """The number of items with a word, their mean length, and in how many of them each word is."""
+    n, length, df = 0, 0, defaultdict(int)
+    for words in items:
+        if words:
+            n += 1
+            length += len(words)
+            for w in set(words):
+                df[w] += 1
+    return n, length / max(1, n), df
+
+
 class Index:
-    """Posting lists of one block of items, weights divided by the items' thresholds."""
+    """Posting lists of one block of items, weights divided by the items' thresholds.
+
+    ``statistics``: the number of items, their mean length, and in how many each word is; the block's own if not given.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], statistics: tuple[int, float, dict[bytes, int]] | None = None):
         self.items = []
         for item, text in items:
             parts = _sentences.split(text.strip())
@@ -66,17 +88,13 @@ class Index:
                 question = words_of(" ".join(parts[:-1])) if len(parts) > 1 else words
                 self.items.append((item, words, shingles(words), shingles(question), set(words_of(parts[-1]))))
         n = len(self.items)
-        df: dict[bytes, int] = defaultdict(int)
-        for _, words, *_ in self.items:
-            for w in set(words):
-                df[w] += 1
-        mean = sum(len(w) for _, w, *_ in self.items) / max(1, n)
+        every, mean, df = statistics or summed(words for _, words, *_ in self.items)
         weights = []
         for _, words, all_shingles, *_ in self.items:
             tf: dict[bytes, int] = defaultdict(int)
             for w in words:
                 tf[w] += 1
-            own = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean)) for w, f in tf.items()}
+            own = {w: math.log(1 + (every - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean)) for w, f in tf.items()}
             # A word that is missing takes all of its shingles with it, and each missing word at least one of its own.
             missing = math.floor((1 - SHARE) * len(all_shingles) + 1e-9) if len(words) >= SHINGLE else 0
             held: dict[bytes, int] = defaultdict(int)
@@ -87,7 +105,7 @@ class Index:
             least = sum(own.values()) - sum(may_lack)
             weights.append({w: x / least for w, x in own.items()} if least > 0 else {})
         self.step = max(8, math.ceil(1.25 * max((len(w) for _, w, *_ in self.items), default=0)))
-        vocabulary = sorted(df)
+        vocabulary = sorted(set().union(*weights))
         hashes = np.array([word_hashes(w, _SEPARATOR)[2][0] for w in vocabulary], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.terms = hashes[order], [vocabulary[k] for k in order]
@@ -173,7 +191,11 @@ class Index:
         if len(own) < SHINGLE:
             return (1.0, 1.0, 1.0) if set(own) <= words and every <= passage else (0.0, 0.0, 0.0)
         share = lambda x, y: len(x & y) / max(1, len(x))
-        return share(every, passage), share(question, passage) if min(map(len, question), default=0) >= SHINGLE else 1.0, share(answer, words)
+        if min(map(len, question), default=0) >= SHINGLE:
+            asked = share(question, passage)
+        else:  # a short question: its words
+            asked = share(set().union(*question), words) if question else 1.0
+        return share(every, passage), asked, share(answer, words) if answer else 1.0
 
     def search(self, texts: list[str]):
         """(row, item's place, score, overlap, question's, answer's overlap), for each row and item the best passage."""
@@ -206,7 +228,7 @@ class Index:
                 for i, score in found:
                     overlap, question, answer = self.verify(i, got[min(SHINGLE, len(self.items[i][1]))], bag)
                     key = (int(owner[p + k]), i)
-                    if overlap >= SHARE - 1e-9 and (key not in best or best[key] < (overlap, score, question, answer)):
+                    if overlap >= SHARE - 1e-9 and min(question, answer) >= PART - 1e-9 and (key not in best or best[key] < (overlap, score, question, answer)):
                         best[key] = (overlap, score, question, answer)
         for (r, i), (overlap, score, question, answer) in sorted(best.items()):
             yield r, i, score, overlap, question, answer
@@ -227,23 +249,36 @@ def index_groups(benchmark: DataFrame, item_col: str = "item_id", text_col: str
     """Lists of up to ``GROUP`` indexes of up to ``ITEMS`` items, which reach the driver a partition at a time."""
     group, block = [], []
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").distinct()
+    statistics = summed(words_of(r.t) for r in rows.toLocalIterator())
     for r in rows.sort("i", "t").toLocalIterator():
         block.append((r.i, r.t))
         if len(block) == ITEMS:
-            group.append(Index(block))
+            group.append(Index(block, statistics))
             block = []
             if len(group) == GROUP:
                 yield group
                 group = []
     if block:
-        group.append(Index(block))
+        group.append(Index(block, statistics))
     if group:
         yield group
 
 
-def _search_all(many: list[Index], texts: list[str]):
+def passes(spark: SparkSession, benchmark: DataFrame):
+    """Lists of up to ``PASS`` broadcast groups: what one scan of the documents is put to."""
+    shared = []
+    for group in index_groups(benchmark):
+        shared.append(spark.sparkContext.broadcast(group))
+        if len(shared) == PASS:
+            yield shared
+            shared = []
+    if shared:
+        yield shared
+
+
+def _search_all(shared: list, texts: list[str]):
     for i, j in _blocks(texts):
-        for index in many:
+        for index in (x for group in shared for x in group.value):
             for r, k, *found in index.search(texts[i:j]):
                 yield i + r, index.items[k][0], *found
 
@@ -260,14 +295,14 @@ def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     def search(shared):
         def run(batches):
             for b in batches:
-                found = list(_search_all(shared.value, b.column(1).to_pylist()))
+                found = list(_search_all(shared, b.column(1).to_pylist()))
                 if found:
                     rows, items, *rest = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(items, pa.int64()), *(pa.array(x, pa.float64()) for x in rest)], ["doc_id", *names])
 
         return docs.mapInArrow(run, schema)
 
-    parts = [search(spark.sparkContext.broadcast(group)) for group in index_groups(benchmark)]
+    parts = [search(shared) for shared in passes(spark, benchmark)]
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
 
@@ -275,17 +310,17 @@ def without(df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
     """The documents that hold no item, as they are."""
     spark, schema = df.sparkSession, df.schema
     ship(spark)
-    place = df.columns.index(text_col)
+    place = df.columns.index(column_name(df, text_col))
 
     def free_of(df, shared):
         def run(batches):
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                keep[[r for r, *_ in _search_all(shared.value, [x or "" for x in b.column(place).to_pylist()])]] = False
+                keep[[r for r, *_ in _search_all(shared, [x or "" for x in b.column(place).to_pylist()])]] = False
                 yield b.filter(pa.array(keep))
 
         return df.mapInArrow(run, schema)
 
-    for group in index_groups(benchmark):
-        df = free_of(df, spark.sparkContext.broadcast(group))
+    for shared in passes(spark, benchmark):
+        df = free_of(df, shared)
     return df
