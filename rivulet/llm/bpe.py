@@ -5,7 +5,7 @@ table, and a recursive query contracts the leftmost pair of least rank in every
 id-position rows with the vocabulary and aggregates the bytes in order; documents are put together from their pieces by
 ordered aggregation too. Pieces of all lengths go the same way.
 
-A worker remembers the pieces it has seen (about ``CACHE`` of them, then it starts anew), so that the recursive query runs
+A worker remembers the pieces it has seen (about ``CACHE`` of them; then it forgets the rare ones), so that the recursive query runs
 only over new pieces. Null texts count as empty: no ids, no bytes. Null ids give an empty byte string. Repeated rows give
 repeated results; an empty table gives an empty one; other columns are not looked at.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,24 +25,27 @@ from pyspark.sql import DataFrame
 from .common import id_text, ship
 
 #: Most different pieces that a worker remembers.
-CACHE = 800_000
+CACHE = 500_000
 #: Rows of all rounds that one recursive query may leave behind, about; what is not done then goes on in another one.
-HISTORY = 6_000_000
+HISTORY = 3_000_000
+#: Bytes of pieces in one recursive query, about; a longer piece is taken whole.
+BLOCK = 250_000
 
 #: ``state`` has a row for each token of each piece: where it stands, where the next one stands, its id and the next one's (-1
-#: at the end), and ``rk``: twice the rank of the pair of both, one more if the pair is unsafe, null if there is none.
+#: at the end), ``rk``: twice the rank of the pair of both, one more if the pair is unsafe, null if there is none, and
+#: ``twice``: whether some pair may stand in the piece more than once.
 #: A round finds each piece's leftmost pair of least rank and contracts it, and with it, where the pair is safe, its other
 #: occurrences; in a run of overlapping ones every other. The row of a contracted pair goes; the next row takes its place.
 #: Pieces without a pair take no part in further rounds.
 _CONTRACT_SQL = """
 CREATE OR REPLACE TEMP TABLE after AS
 WITH RECURSIVE t AS (
-  SELECT 0::INT AS round, pid, pos, npos, l, r, rk FROM state
+  SELECT 0::INT AS round, pid, pos, npos, l, r, rk, twice FROM state
   UNION ALL
   (WITH b AS (
      SELECT pid, min(rk) AS m, min((rk::BIGINT << 32) + pos) & 4294967295 AS p, arg_min(npos, (rk::BIGINT << 32) + pos) AS dead
      FROM t WHERE rk IS NOT NULL GROUP BY pid),
-   h AS (SELECT t.pid, t.pos, t.npos, m, p, dead FROM t JOIN b ON b.pid = t.pid AND m = rk WHERE pos <> p AND m % 2 = 0),
+   h AS (SELECT t.pid, t.pos, t.npos, m, p, dead FROM t JOIN b ON b.pid = t.pid AND m = rk WHERE twice AND pos <> p AND m % 2 = 0),
    e AS (
      SELECT pos, npos, m // 2 AS tok FROM (
        SELECT *, (n - max(CASE WHEN first THEN n END) OVER (PARTITION BY pid ORDER BY pos)) % 2 = 0 AS hit FROM (
@@ -50,15 +54,24 @@ WITH RECURSIVE t AS (
          WINDOW w AS (PARTITION BY pid ORDER BY pos)))
      WHERE hit AND pos <> p),
    n AS (
-     SELECT t.round + 1 AS round, t.pid, t.npos,
+     SELECT t.round + 1 AS round, t.pid, t.npos, t.twice,
        CASE WHEN t.pos = dead THEN p::INT ELSE coalesce(x.pos, t.pos) END AS pos,
        CASE WHEN t.pos = dead THEN m // 2 ELSE coalesce(x.tok, t.l) END AS l,
        CASE WHEN t.npos = p THEN m // 2 ELSE coalesce(y.tok, t.r) END AS r
      FROM t JOIN b USING (pid) LEFT JOIN e x ON x.npos = t.pos LEFT JOIN e y ON y.pos = t.npos
-     WHERE t.round < {rounds} AND t.pos <> p AND NOT EXISTS (FROM e WHERE e.pos = t.pos))
-   SELECT n.round, n.pid, n.pos, n.npos, n.l, n.r, g.rk FROM n LEFT JOIN merges g ON g.k = (n.l::BIGINT << 32) + n.r)
+     WHERE t.twice AND t.round < {rounds} AND t.pos <> p AND NOT EXISTS (FROM e WHERE e.pos = t.pos)
+     UNION ALL
+     SELECT t.round + 1, t.pid, t.npos, t.twice, CASE WHEN t.pos = dead THEN p::INT ELSE t.pos END,
+       CASE WHEN t.pos = dead THEN m // 2 ELSE t.l END, CASE WHEN t.npos = p THEN m // 2 ELSE t.r END
+     FROM t JOIN b USING (pid) WHERE NOT t.twice AND t.round < {rounds} AND t.pos <> p)
+   SELECT n.round, n.pid, n.pos, n.npos, n.l, n.r, g.rk, n.twice FROM n LEFT JOIN merges g ON g.k = (n.l::BIGINT << 32) + n.r)
 ), last AS (SELECT pid, max(round) AS round FROM t GROUP BY pid)
-SELECT pid, pos, npos, l, r, rk FROM t JOIN last USING (pid, round)
+SELECT pid, pos, npos, l, r, rk, twice FROM t JOIN last USING (pid, round)
+"""
+#: What each piece has become, from its token rows in order: its ids, and the bytes that they decode to.
+_UNITS_SQL = """
+SELECT pid + {first}, list(l ORDER BY pos), decode(unhex(string_agg(v.hex, '' ORDER BY pos)))
+FROM state JOIN vocab v ON v.id = l GROUP BY pid
 """
 #: The bytes of ``seqs`` (k, ids) in order of token.
 _DECODE_SQL = """
@@ -103,7 +116,7 @@ class Codec:
 
         self.ranks, self.find, self.history = ranks, regex.compile(pattern).findall, history
         # No folder for spills: what a query holds is bounded by ``history`` and by the blocks that it is asked for.
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "800MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
         self._table("merges", {k: pa.array(v, pa.int64() if k == "k" else pa.int32()) for k, v in merge_rows(ranks).items()})
         self._table("vocab", {"id": pa.array(list(ranks.values()), pa.int32()), "hex": [b.hex() for b in ranks]})
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
@@ -122,16 +135,36 @@ class Codec:
 
     def _forget(self) -> None:
         self.codes: dict[str, int] = {}
-        self.db.execute("CREATE OR REPLACE TEMP TABLE units (code INT, ids INT[], written VARCHAR, bytes VARCHAR)")
-
-    def contract(self, pieces: list[bytes]) -> pa.Table:
-        """``pid, ids`` of pieces that are not empty."""
+        self.uses = np.zeros(0, np.int64)
+        self.written: list[str] = []
+        self.db.execute("CREATE OR REPLACE TEMP TABLE units (code INT, ids INT[], bytes VARCHAR)")
+
+    def _forget_rare(self) -> None:
+        """Keeps the pieces that came up more than once, the most used ones if those are too many: half of ``CACHE``."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > CACHE // 2:
+            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: CACHE // 2]])
+        names, written = list(self.codes), self.written
+        self.codes = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.written = [written[k] for k in keep.tolist()]
+        self.uses = self.uses[keep]
+        rows = pa.table({"old": pa.array(keep, pa.int32()), "new": np.arange(len(keep), dtype=np.int32)})
+        self._with(rows, "kept", "CREATE OR REPLACE TEMP TABLE fewer AS SELECT new AS code, ids, bytes FROM units JOIN kept ON code = old")
+        self.db.execute("DROP TABLE units")
+        self.db.execute("ALTER TABLE fewer RENAME TO units")
+
+    def contract(self, pieces: list[bytes]) -> None:
+        """Leaves ``state`` as it is when no pair is left in any of the pieces, which are not empty."""
         size = np.array([len(p) for p in pieces])
         tok = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
         nxt = np.append(tok[1:], -1).astype(np.int32)
         nxt[np.cumsum(size) - 1] = -1
-        pos = np.arange(len(tok), dtype=np.int32)
-        start = pa.table({"pid": np.repeat(np.arange(len(pieces), dtype=np.int32), size), "pos": pos, "npos": pos + np.int32(1), "l": tok, "r": nxt, "k": (tok.astype(np.int64) << 32) + nxt})
+        pos, pid = np.arange(len(tok), dtype=np.int32), np.repeat(np.arange(len(pieces), dtype=np.int32), size)
+        # A pair can stand twice in a piece only if the two bytes where its halves meet do.
+        pairs = np.sort(((pid[:-1].astype(np.int64) << 32) + tok[:-1].astype(np.int64) * 65536 + tok[1:])[nxt[:-1] >= 0])
+        twice = np.zeros(len(pieces), bool)
+        twice[pairs[1:][pairs[1:] == pairs[:-1]] >> 32] = True
+        start = pa.table({"pid": pid, "twice": twice[pid], "pos": pos, "npos": pos + np.int32(1), "l": tok, "r": nxt, "k": (tok.astype(np.int64) << 32) + nxt})
         self._with(start, "start", "CREATE OR REPLACE TEMP TABLE state AS SELECT s.* EXCLUDE (k), g.rk FROM start s LEFT JOIN merges g USING (k)")
         while True:
             self.db.execute(_CONTRACT_SQL.format(rounds=max(8, self.history // len(tok))))
@@ -139,7 +172,6 @@ class Codec:
             self.db.execute("ALTER TABLE after RENAME TO state")
             if not self.db.execute("SELECT count(rk) FROM state").fetchall()[0][0]:
                 break
-        return self.db.sql("SELECT pid, list(l ORDER BY pos) AS ids FROM state GROUP BY pid ORDER BY pid").to_arrow_table()
 
     def _learn(self, pieces: set[str]) -> None:
         """New pieces get codes, ids, and bytes, which are those ids decoded again."""
@@ -147,36 +179,62 @@ class Codec:
         for p in pieces:
             b = p.encode()
             (whole if b in self.ranks else parts).append((p, b))
-        parts.sort(key=lambda x: len(x[1]))
-        tables = []
         if whole:
-            tables.append(([p for p, _ in whole], pa.array([[self.ranks[b]] for _, b in whole], pa.list_(pa.int32()))))
+            ids = np.array([self.ranks[b] for _, b in whole], np.int32)
+            none = pa.nulls(len(ids), pa.int32())
+            rows = pa.table({"pid": np.arange(len(ids), dtype=np.int32), "pos": np.zeros(len(ids), np.int32), "npos": none, "l": ids, "r": none, "rk": none})
+            self._with(rows, "start", "CREATE OR REPLACE TEMP TABLE state AS SELECT * FROM start")
+            self._keep([p for p, _ in whole])
+        parts.sort(key=lambda x: len(x[1]))
         while parts:
             block, size = [], 0
-            while parts and size < 400_000:
+            while parts and size < BLOCK:
                 block.append(parts.pop())
                 size += len(block[-1][1])
-            tables.append(([p for p, _ in block], self.contract([b for _, b in block]).column("ids")))
-        for names, ids in tables:
-            first = len(self.codes)
-            codes = np.arange(first, first + len(names), dtype=np.int32)
-            self.codes.update(zip(names, codes.tolist(), strict=True))
-            self._with(pa.table({"k": codes, "ids": ids}), "seqs", f"INSERT INTO units SELECT k, ids, array_to_string(ids, ' '), decode(bytes) FROM ({_DECODE_SQL}) JOIN seqs USING (k)")
+            self.contract([b for _, b in block])
+            self._keep([p for p, _ in block])
+
+    def _keep(self, names: list[str]) -> None:
+        first = len(self.codes)
+        self.codes.update(zip(names, range(first, first + len(names)), strict=True))
+        self.db.execute(f"INSERT INTO units {_UNITS_SQL.format(first=first)}")
+        self.written += self.db.sql(f"SELECT array_to_string(ids, ' ') AS w FROM units WHERE code >= {first} ORDER BY code").to_arrow_table().column("w").to_pylist()
+
+    def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of all pieces of the texts, one text after another, and how many each text has."""
+        if len(self.codes) > CACHE:
+            self._forget_rare()
+        pieces: list[str] = []
+        ends = []
+        for x in texts:
+            pieces += self.find(x)
+            ends.append(len(pieces))
+        codes = np.fromiter(map(self.codes.get, pieces, repeat(-1)), np.int32, len(pieces))
+        fresh = np.flatnonzero(codes < 0).tolist()
+        if fresh:
+            self._learn({pieces[k] for k in fresh})
+            codes[fresh] = [self.codes[pieces[k]] for k in fresh]
+        self.uses = np.bincount(codes, minlength=len(self.codes)) + np.pad(self.uses, (0, len(self.codes) - len(self.uses)))
+        return codes, np.diff(ends, prepend=0)
 
     def documents(self, texts: list[str], columns: dict[str, str]) -> pa.Table:
         """``columns``, aggregates over each text's units ``u`` in order ``d.i``, of all texts that are not empty, by ``doc``."""
-        found = list(map(self.find, texts))
-        if len(self.codes) > CACHE:
-            self._forget()
-        if new := set().union(*found).difference(self.codes):
-            self._learn(new)
-        code = self.codes.__getitem__
-        flat = np.array([c for x in found for c in map(code, x)], np.int32)
-        doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x in found])
-        rows = pa.table({"doc": doc, "i": np.arange(len(flat), dtype=np.int32), "code": flat})
+        codes, sizes = self.coded(texts)
+        return self._documents(codes, sizes, columns)
+
+    def _documents(self, codes: np.ndarray, sizes: np.ndarray, columns: dict[str, str]) -> pa.Table:
+        rows = pa.table({"doc": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), "i": np.arange(len(codes), dtype=np.int32), "code": codes})
         wanted = ", ".join(f"{sql} AS {name}" for name, sql in columns.items())
         return self._with(rows, "d", f"SELECT doc, {wanted} FROM d JOIN units u USING (code) GROUP BY doc ORDER BY doc")
 
+    def digests(self, codes: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """SHA-256 of each text's ids, in decimal, joined by a space."""
+        out, at, written = [], 0, self.written.__getitem__
+        for n in sizes.tolist():
+            out.append(hashlib.sha256(" ".join(map(written, codes[at : at + n].tolist())).encode()).hexdigest())
+            at += n
+        return out
+
     def decode(self, ids: pa.Array) -> list[bytes]:
         """The bytes of each list of ids; empty for a null or empty list."""
         out = [b""] * len(ids)
@@ -220,12 +278,12 @@ def blocks(texts: list[str], chars: int = 1_500_000) -> Iterator[tuple[int, int]
 #: What a document's units add up to, in order.
 IDS = "flatten(list(u.ids ORDER BY d.i))"
 N_TOKENS = "sum(len(u.ids))::BIGINT"
-IDS_SHA256 = "sha256(string_agg(u.written, ' ' ORDER BY d.i))"
 DECODED_SHA256 = "sha256(string_agg(u.bytes, '' ORDER BY d.i))"
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def _run(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, columns: dict[str, str], types: dict[str, pa.DataType], ddl: str) -> DataFrame:
+    """``doc_id`` and columns of ``types``: those of ``columns``, and ``ids_sha256``."""
     shared = share(df.sparkSession, path)
     schema = pa.schema([("doc_id", pa.int64()), *types.items()])
 
@@ -234,15 +292,18 @@ def _run(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, col
         for b in batches:
             docs, texts = b.column(0), b.column(1).to_pylist()
             for i, j in blocks(texts):
-                got = c.documents(texts[i:j], columns)
+                codes, sizes = c.coded(texts[i:j])
+                got = c._documents(codes, sizes, columns)
                 at = np.full(j - i, -1, np.int64)
                 at[got.column("doc").to_numpy()] = np.arange(len(got))
                 take = pa.array(at, mask=at < 0)
                 out = [docs.slice(i, j - i)]
                 for name, kind in types.items():
+                    if name == "ids_sha256":
+                        out.append(pa.array(c.digests(codes, sizes), kind))
+                        continue
                     x = got.column(name).combine_chunks().cast(kind).take(take)
-                    none = [] if pa.types.is_list(kind) else _EMPTY if pa.types.is_string(kind) else 0
-                    out.append(pa.compute.coalesce(x, pa.scalar(none, kind)) if not pa.types.is_list(kind) else _filled(x))
+                    out.append(_filled(x) if pa.types.is_list(kind) else pa.compute.fill_null(x, _EMPTY if pa.types.is_string(kind) else 0))
                 yield pa.RecordBatch.from_arrays(out, schema=schema)
 
     return id_text(df, id_col, text_col).mapInArrow(run, ddl)
@@ -278,6 +339,6 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
 
 def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text, decode the ids; ``doc_id, n_tokens, ids_sha256, decoded_sha256`` in one pass."""
-    columns = {"n_tokens": N_TOKENS, "ids_sha256": IDS_SHA256, "decoded_sha256": DECODED_SHA256}
+    columns = {"n_tokens": N_TOKENS, "decoded_sha256": DECODED_SHA256}
     types = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
     return _run(df, path, pattern, id_col, text_col, columns, types, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
