@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+    """Write ``df`` as Parquet in the shared folder and read it back: its plan ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}-{name}"
     df.write.parquet(path)
