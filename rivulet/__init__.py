@@ -1 +1 @@
-"""Spark-first analytics over code-lineage facts and training corpora."""
+"""Spark-first analytics over data-flow facts and training corpora."""

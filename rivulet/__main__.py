@@ -10,7 +10,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import lineage
+from .operators import readers, relational
 from .plans import pipelines, sinks
 from .sources import files
 
@@ -19,19 +19,19 @@ def tables(job: str, found: DataFrame, dependencies: bool) -> dict[str, DataFram
     if job == "unified":
         return pipelines.unified(found, dependencies).sheets()
     if job == "columns":
-        facts, summary = pipelines.column_lineage(found, dependencies)
-        return {"Column Lineage": facts.drop("primary", "pos"), "Job Summary": summary}
+        facts, summary = pipelines.column_flow(found, dependencies)
+        return {"Column Flow": facts.where("primary").drop("primary", "pos"), "Job Summary": summary}
     if job == "tables":
-        rows, problems = pipelines.table_lineage(found)
-        return {"Lineage": rows, "Diagnostics": problems}
+        rows, problems = pipelines.table_flow(found)
+        return {"Flow": rows, "Diagnostics": problems}
     if job == "migration":
         return {"Constructs": pipelines.migration(found)}
     if job == "reports":
         return {"Reports": pipelines.reporting(found)}
-    facts, _ = pipelines.column_lineage(found, dependencies)
+    facts, _ = pipelines.column_flow(found, dependencies)
     reports = pipelines.reporting(found).selectExpr("report_name", "array_join(tables, ';') AS tables")
-    joined, five = pipelines.end_to_end(facts.select("job_name", "source_table", "source_column", "target_table", "target_column", "sql_operation", "pos"), reports)
-    return {"End-to-End Lineage": joined, "Summary": five}
+    joined, five = pipelines.end_to_end(relational.table_level(facts).select("job_name", "source_table", "source_column", "target_table", "target_column", "sql_operation", "pos"), reports)
+    return {"End-to-End Flow": joined, "Summary": five}
 
 
 def main(args: list[str] | None = None) -> int:
@@ -58,7 +58,7 @@ def main(args: list[str] | None = None) -> int:
             sinks.write_csv(df, f"{out}/{name.lower().replace(' ', '_')}")
     else:
         sinks.write_parquet(made, out)
-    failed = lineage.diagnostics(found).where("level = 'error'").count()
+    failed = readers.diagnostics(found).where("level = 'error'").count()
     print(f"{', '.join(made)} written to {out}; {failed} files failed")
     return int(failed > 0)
 

@@ -1,4 +1,4 @@
-"""Column lineage and facts of PySpark code, by following DataFrame variables through the syntax tree.
+"""Column flow and facts of PySpark code, by following DataFrame variables through the syntax tree.
 
 Frames flow through assignments and method chains in source order, so a write takes the sources of its own chain. Code
 that does not parse gives a diagnosis instead of rows.

@@ -1,4 +1,4 @@
-"""Column lineage of SQL text: a tokenizer and a scope builder, in plain Python for use inside Arrow functions.
+"""Column flow of SQL text: a tokenizer and a scope builder, in plain Python for use inside Arrow functions.
 
 A statement is tokenized, cut into clauses at parenthesis depth zero and read into nested query scopes. A name is resolved
 in its own scope only (then in the enclosing ones, for correlated subqueries), through CTEs and derived tables down to
@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
-# --- fixed values: the vocabularies that lineage operations are told apart by
+# --- fixed values: the vocabularies that flow operations are told apart by
 AGGREGATES = ("SUM", "COUNT", "AVG", "MAX", "MIN", "STDDEV", "VARIANCE", "COLLECT_LIST", "COLLECT_SET", "APPROX_COUNT_DISTINCT", "ANY_VALUE")
 WINDOWS = ("ROW_NUMBER", "RANK", "DENSE_RANK", "NTILE", "PERCENT_RANK", "LAG", "LEAD", "FIRST_VALUE", "LAST_VALUE", "NTH_VALUE")
 OP_ORDER = ("SELECT", "AGGREGATE", "WINDOW", "ALIAS", "JOIN", "FILTER", "UNKNOWN")
@@ -42,6 +42,8 @@ class Source(NamedTuple):
     table: str
     column: str
     op: str = "SELECT"
+    #: Comes from a further branch of a set operation, where it is the one that is shown.
+    branch: bool = False
 
 
 _lexer = re.compile(
@@ -167,7 +169,7 @@ class Relation:
             return [Source(self.database, self.table, column)], 0
         for o in self.query.outputs:
             if o.name.lower() == column.lower():
-                return [Source(*s[:3], o.op) for s in o.sources], o.primary
+                return [s if s.branch else s._replace(op=o.op) for s in o.sources], o.primary
         for o in self.query.outputs:
             if o.name == "*" and o.sources:
                 return [Source(s.database, s.table, column) for s in o.sources], 0
@@ -271,7 +273,8 @@ class Builder:
                 first = q
             else:  # further branches of a set operation add sources to the same places
                 for o, p in zip(first.outputs, q.outputs, strict=False):
-                    o.sources = list(dict.fromkeys([*o.sources, *p.sources]))
+                    known = {x[:3] for x in o.sources}
+                    o.sources += [x._replace(op=p.op, branch=x.branch or k == p.primary) for k, x in enumerate(p.sources) if x[:3] not in known]
                 first.inner.append(q)
         first.inner = [*made, *first.inner]
         return first
@@ -455,7 +458,7 @@ class Builder:
             inherited = [s.op for s in sources]
             real = any(r.query is not None for r in q.relations) and inherited and inherited[p] != "SELECT"
             op = inherited[p] if real else ("ALIAS" if aliased and name.lower() != column[-1].lower() and not self.from_query(column, q) else "SELECT")
-            return [Output(name or column[-1], [Source(*s[:3], op) for s in sources], op, p)]
+            return [Output(name or column[-1], [s if s.branch else s._replace(op=op) for s in sources], op, p)]
         body, subqueries = self.without_subqueries(body)
         heads = [(k, t.up) for k, t in enumerate(body) if t.kind == "name" and k + 1 < len(body) and body[k + 1].text == "("]
         if len(heads) == 1 and heads[0][0] == 0 and _close(body, 1) == 2 and len(body) == 3 and not subqueries:
@@ -499,8 +502,8 @@ class Builder:
         arithmetic = op in ("ALIAS", "SELECT") and any(t.text in "+-*/%" and t.kind == "op" for t in body) and body[0].up != "CASE"
         if arithmetic and chosen:
             first = last
-        found = list(dict.fromkeys(Source(*s[:3], op) for s in found))
-        primary = found.index(Source(*first[:3], op))
+        found = list(dict.fromkeys(s._replace(op=op) for s in found))
+        primary = next(k for k, s in enumerate(found) if s[:3] == first[:3])
         return [Output(name or (chosen[0][-1] if chosen else first.column), found, op, primary, untraced=arithmetic and sum(len(p) > 1 for p in chosen) > 1)]
 
     @staticmethod
@@ -721,7 +724,7 @@ def statement_rows(sql: str, dependencies: bool = False) -> list[Mapping]:
             if o.untraced:
                 add(src, o.name, o.op, False)
             else:
-                add(src, o.name, o.op, k == o.primary)
+                add(src, o.name, src.op if src.branch else o.op, k == o.primary or src.branch)
         if o.untraced:
             add(Source("", "", "expr"), o.name, o.op)
     for name, sources in zip(q.join_names, q.joins, strict=True):
@@ -739,12 +742,13 @@ def merged(rows: Iterable[Mapping]) -> list[Mapping]:
     rows = list(rows)
     key = lambda r: (r.source_column, r.target_table, r.target_column, r.sql_operation, r.primary)
     sourced = {key(r) for r in rows if r.source_table}
+    shown = {r[:6] for r in rows if r.primary}
     ops: dict[tuple, list[str]] = {}
     primary: dict[tuple, bool] = {}
     for r in rows:
         if not r.source_table and key(r) in sourced:
             continue
-        if not r.primary and any(x[:6] == r[:6] and x.primary for x in rows):
+        if not r.primary and r[:6] in shown:
             continue
         found = ops.setdefault(r[:6], [])
         if r.sql_operation not in found:

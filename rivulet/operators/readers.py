@@ -17,8 +17,6 @@ from ..shipping import ship
 
 #: Rows handed to a parser at a time, which bounds what is held besides one file.
 ROWS = 64
-#: Ordinals for the facts of one file.
-_WIDE = 1 << 16
 
 
 def _mapped(df: DataFrame, f, schema: str) -> DataFrame:
@@ -49,7 +47,7 @@ def explode_chunks(files: DataFrame) -> DataFrame:
 
 
 def diagnostics(files: DataFrame) -> DataFrame:
-    """Files that could not be read, and metadata that is missing."""
+    """Files that could not be read; sources, targets and metadata that are missing."""
 
     def f(path, name, content, pos):
         problem = chunks.extract(name, content)[1]
@@ -57,6 +55,8 @@ def diagnostics(files: DataFrame) -> DataFrame:
         for c in units(name, content):
             if c.dialect == "python":
                 out += [(path, "error", d)] if (d := pyscope.pyspark_mappings(c.content)[1]) else []
+        for k, r in enumerate(_table_rows(path, name, content)):
+            out += [(path, "warning", f"{what} table of part {k} is not known") for what, tables in (("source", r[8]), ("target", r[9])) if not tables]
         known = file_metadata(name, content)
         return out + [(path, "warning", f"missing {k} metadata") for k in ("DOMAIN", "SUBJECT_AREA") if k not in known]
 
@@ -114,7 +114,7 @@ def column_facts(files: DataFrame, dependencies: bool = False) -> DataFrame:
         job, rows = _stem(name), []
         for c in units(name, content):
             rows += mappings_of(c.content, c.dialect, job, dependencies)
-        return [(path, label, job, *m, pos * _WIDE + k) for k, m in enumerate(sqlscope.merged(rows))]
+        return [(path, label, job, *m, (pos << 32) + k) for k, m in enumerate(sqlscope.merged(rows))]
 
     ddl = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in schemas.FACTS.fields)
     return _mapped(files.select("path", "file_name", "content", "file_pos"), f, ddl)
@@ -130,27 +130,28 @@ def statement_facts(rows: DataFrame, text: str, key: str, dependencies: bool = F
     return _mapped(rows.select(key, text), f, ddl)
 
 
-def table_facts(files: DataFrame) -> DataFrame:
-    """Table-level lineage: a row for each SQL statement, each write of a script, each part of a report."""
+def _table_rows(path: str, name: str, content: bytes | None) -> list[tuple]:
+    meta = file_metadata(name, content)
+    head = lambda kind: (path, _stem(name), kind, meta.get("DOMAIN", "unknown"), meta.get("SUBJECT_AREA", "unknown"), meta.get("SCHEDULE"), meta.get("OWNER"))
+    if (r := bi.read_report(name, content)) is not None:
+        parts = [(*head(p.job_type), f"{p.kind} {p.name}: {bi.shortened(p.logic, 5)}" if p.logic else f"{p.kind} {p.name}", p.sources, p.targets, p.keys, p.kpis) for p in r.parts]
+        return parts or [(*head(r.job_type), bi.shortened(r.logic, 5), r.sources, r.targets, r.keys, r.kpis)]
+    out = []
+    for c in units(name, content):
+        if c.dialect == "python":
+            for w in pyscope.writes(c.content)[0]:
+                logic = " -> ".join(w.logic) or " | ".join(w.sql)
+                out.append((*head("aggregation" if {"groupBy", "agg"} & set(w.logic) else "curated"), logic, w.sources, [w.target] if w.target else [], w.keys, w.kpis))
+        for sql in sqlscope.split_statements(c.content) if c.dialect == "sql" else pyscope.sql_statements(c.content) if c.dialect == "python" else []:
+            if facts := statement_summary(sql):
+                kind, sources, targets, keys, kpis = facts
+                out.append((*head(kind), sql.strip(), sources, targets, keys, kpis))
+    return out
 
-    def f(path, name, content, pos):
-        meta = file_metadata(name, content)
-        head = lambda kind: (path, _stem(name), kind, meta.get("DOMAIN", "unknown"), meta.get("SUBJECT_AREA", "unknown"), meta.get("SCHEDULE"), meta.get("OWNER"))
-        if (r := bi.read_report(name, content)) is not None:
-            return [(*head(r.job_type), bi.shortened(r.logic, 5), r.sources, r.targets, r.keys, r.kpis)]
-        out = []
-        for c in units(name, content):
-            if c.dialect == "python":
-                for w in pyscope.writes(c.content)[0]:
-                    logic = " -> ".join(w.logic) or " | ".join(w.sql)
-                    out.append((*head("aggregation" if {"groupBy", "agg"} & set(w.logic) else "curated"), logic, w.sources, [w.target] if w.target else [], w.keys, w.kpis))
-            for sql in sqlscope.split_statements(c.content) if c.dialect == "sql" else pyscope.sql_statements(c.content) if c.dialect == "python" else []:
-                if facts := statement_summary(sql):
-                    kind, sources, targets, keys, kpis = facts
-                    out.append((*head(kind), sql.strip(), sources, targets, keys, kpis))
-        return out
-
-    return _mapped(files.select("path", "file_name", "content", "file_pos"), f, schemas.LINEAGE_V1)
+
+def table_facts(files: DataFrame) -> DataFrame:
+    """Table-level flow: a row for each SQL statement, each write of a script, each part of a report."""
+    return _mapped(files.select("path", "file_name", "content", "file_pos"), lambda path, name, content, pos: _table_rows(path, name, content), schemas.TABLE_FACTS)
 
 
 def statement_summary(sql: str) -> tuple[str, list[str], list[str], list[str], list[str]] | None:

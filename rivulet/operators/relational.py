@@ -1,4 +1,4 @@
-"""Relational operators over lineage facts, as DataFrame expressions only.
+"""Relational operators over flow facts, as DataFrame expressions only.
 
 Rows carry an ordinal ``pos`` wherever "first seen" decides, as order means nothing after a shuffle. Text is never null:
 unknown is the empty string. Joins are left to Catalyst (broadcast where a side is known to be small, sort-merge with
@@ -7,7 +7,8 @@ skew handling where not); groups are aggregated before they are shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sqlscope import NO_COLUMN, OP_ORDER
@@ -45,20 +46,27 @@ def merge_operations(rows: DataFrame, keys: list[str] = IDENTITY) -> DataFrame:
     return first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["op"]), ", ").alias("sql_operation"))
 
 
-def keep_first_content(files: DataFrame, text: str, name: str, order: str) -> tuple[DataFrame, DataFrame]:
+def keep_first_content(files: DataFrame, text: str, name: str, order: str, held: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(files kept, files removed with the name of the first): equal after ``normalised``, the least ``order`` first.
 
-    The least is found by an aggregate over hashes alone. What goes is taken out by an anti-join on the ordinal, so that
-    texts are shuffled only if the removed files are too many to broadcast.
+    Texts are hashed once, into a small cached table (given to ``held`` for its release); the least of each hash is found by
+    an aggregate over it. What goes is taken out by an anti-join on the ordinal, so that texts are shuffled only if the
+    removed files are too many to broadcast.
     """
-    keyed = files.withColumn("__h", content_hash(F.col(text)))
-    first = keyed.groupBy("__h").agg(F.min(F.struct(order, name)).alias("__first"))
-    slim = keyed.select(order, name, "__h", F.length(text).cast("long").alias("size_bytes"))
-    gone = slim.join(first, "__h").where(F.col(order) != F.col(f"__first.{order}"))
-    removed = gone.select(F.col(name).alias("removed_file"), F.col(f"__first.{name}").alias("duplicate_of"), F.lit("Identical query content (normalised SHA-256 match)").alias("reason"), "size_bytes")
+    slim = files.select(order, name, content_hash(F.col(text)).alias("hash"), F.length(text).cast("long").alias("size_bytes")).persist(StorageLevel.MEMORY_AND_DISK)
+    if held is not None:
+        held.append(slim)
+    first = slim.groupBy("hash").agg(F.min(F.struct(order, name)).alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = slim.join(first, "hash").where(F.col(order) != F.col(f"first.{order}"))
+    removed = gone.select(F.col(name).alias("removed_file"), F.col(f"first.{name}").alias("duplicate_of"), F.lit("Identical query content (normalised SHA-256 match)").alias("reason"), "size_bytes")
     return files.join(gone.select(order), order, "left_anti"), removed
 
 
+def table_level(facts: DataFrame) -> DataFrame:
+    """All sources of all expressions, without the rows that only stand for them in the ten-column view."""
+    return facts.where((F.col("source_table") != "") | (F.col("source_column") != "expr"))
+
+
 def normalised(c: Column) -> Column:
     """Without block, ``--`` and ``//`` comments, white space as one space, trimmed, in lower case."""
     c = F.regexp_replace(c, r"(?s)/\*.*?\*/", " ")
@@ -97,9 +105,9 @@ def job_summary(facts: DataFrame) -> DataFrame:
         return F.when(t == "", "").when(d == "", t).otherwise(F.concat_ws(".", d, t))
 
     # What a file repeats is summed up first, so that lists hold different values only.
-    value = lambda name, c: facts.select("file_path", "file_type", "job_name", F.lit(name).alias("what"), c.alias("v"), "pos")
-    parts = value("s", full("source")).union(value("t", full("target"))).union(
-        facts.select("file_path", "file_type", "job_name", F.lit("o").alias("what"), F.explode(F.split("sql_operation", ", ")).alias("v"), "pos"))
+    one = lambda what, v: F.struct(F.lit(what).alias("what"), v.alias("v"))
+    values = F.concat(F.array(one("s", full("source")), one("t", full("target"))), F.transform(F.split("sql_operation", ", "), lambda v: one("o", v)))
+    parts = facts.select("file_path", "file_type", "job_name", "pos", F.explode(values).alias("x")).select("file_path", "file_type", "job_name", "x.what", "x.v", "pos")
     first = parts.groupBy("file_path", "file_type", "job_name", "what", "v").agg(F.min("pos").alias("pos"))
     pick = lambda what: F.when(F.col("what") == what, F.col("v")).otherwise("")
     return first.groupBy("file_path", "file_type", "job_name").agg(
@@ -126,10 +134,10 @@ def end_to_end_columns(facts: DataFrame) -> DataFrame:
     return left.join(right, ["__t", "__c"]).select("source_table", "source_column", "target_table", "target_column", "report_table", "report_column").distinct()
 
 
-def end_to_end_tables(lineage: DataFrame, reports: DataFrame, tables: str = "tables") -> DataFrame:
-    """Lineage rows with the reports that read their target (by bare name); rows that none reads are marked."""
+def end_to_end_tables(flow: DataFrame, reports: DataFrame, tables: str = "tables") -> DataFrame:
+    """Flow rows with the reports that read their target (by bare name); rows that none reads are marked."""
     read = reports.select(F.explode(F.split(tables, "[;,\n]")).alias("t"), "report_name").select(bare(F.col("t")).alias("__t"), "report_name").where("__t <> ''").distinct()
-    keyed = lineage.withColumn("__t", bare(F.col("target_table")))
+    keyed = flow.withColumn("__t", bare(F.col("target_table")))
     return keyed.join(read, "__t", "left").withColumn("report_name", F.coalesce("report_name", F.lit(NO_MATCH))).drop("__t")
 
 
@@ -150,9 +158,16 @@ def with_report_targets(facts: DataFrame) -> DataFrame:
 
 
 def running_distinct(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """For each row the different values of its group up to it, in order."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("so_far", F.array_distinct(F.collect_list(value).over(w)))
+    """For each row the different values of its group up to it, in order.
+
+    A group's different values, each with the place where it first stands, are one short sorted list; a row takes those of
+    them that begin by its own place. No window, and nothing as long as a group is ever gathered.
+    """
+    first = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.min(order).alias("p"))
+    known = first.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("p", F.col(value).alias("v")))).alias("known"))
+    joined = rows.join(known.withColumnRenamed(group, "of"), F.col(group).eqNullSafe(F.col("of")), "left")
+    so_far = F.transform(F.filter("known", lambda x: x["p"] <= F.col(order)), lambda x: x["v"])
+    return joined.select(*rows.columns, F.coalesce(so_far, F.array()).alias("so_far"))
 
 
 def summary(e2e: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constructs, formats
 from ..functions import text as t
-from ..operators import lineage, relational
+from ..operators import readers, relational
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 
@@ -25,7 +25,7 @@ STATEMENTS = """SELECT p_partkey AS id, CASE p_partkey % 4
  WHEN 2 THEN concat('MERGE INTO gold.m', p_partkey % 8, ' USING silver.u', p_partkey % 6, ' ON m', p_partkey % 8, '.id = u', p_partkey % 6, '.id -- note', p_partkey)
  ELSE concat('SELECT /* c', p_partkey, ' */ e.x', p_partkey % 5, ' AS y', p_partkey % 3, ', DATE_ADD(e.d, 1) AS z FROM raw.e', p_partkey % 10, ' e WHERE e.x', p_partkey % 5, ' IN (1, 2); VACUUM raw.e', p_partkey % 10) END AS sql
 FROM part"""
-#: Lineage facts from order lines, with blanks, dependencies and report types.
+#: Flow facts from order lines, with blanks, dependencies and report types.
 FACTS = """SELECT concat('f', l_orderkey % 997) AS file_path,
  CASE WHEN l_orderkey % 5 = 0 THEN 'PowerBI' WHEN l_orderkey % 5 = 1 THEN 'PySpark' ELSE 'SQL' END AS file_type, concat('job', l_orderkey % 97) AS job_name,
  CASE WHEN l_suppkey % 7 = 0 THEN '' ELSE 'silver' END AS source_database,
@@ -118,6 +118,17 @@ SELECT id, array_to_string(found, ';') AS constructs_found, len(found) AS constr
  CASE WHEN list_contains(found, 'OPTIMIZE') THEN 'manual' WHEN len(list_intersect(found, ['LATERAL VIEW', 'EXPLODE', 'TRANSFORM'])) > 0 THEN 'rewrite' ELSE 'direct' END AS complexity,
  list_contains(found, 'OPTIMIZE') AS has_delta_ops FROM c""")
 
+_ALL = list(constructs.SEVERITY)
+
+
+def _each_construct(spark: SparkSession, sf: str) -> DataFrame:
+    names = F.array(*(F.lit(n + ("(x)" if n in constructs.NEED_PAREN else "")) for n in _ALL))
+    code = _views(spark, sf, "SELECT p_partkey AS id FROM part").select("id", F.concat(F.lit("SELECT 1 ; "), F.element_at(names, (F.col("id") % len(_ALL) + 1).cast("int")), F.lit(" y")).alias("sql"))
+    return code.select("id", F.array_contains(constructs.found(F.col("sql")), F.element_at(F.array(*map(F.lit, _ALL)), (F.col("id") % len(_ALL) + 1).cast("int"))).alias("seen"))
+
+
+_add("constructs_each", _each_construct, "SELECT p_partkey AS id, TRUE AS seen FROM part")
+
 # --- what a file is
 _EXT = "CASE s_suppkey % 8 WHEN 0 THEN 'a.SQL' WHEN 1 THEN 'dir.x/b.ipynb' WHEN 2 THEN 'c.pbit' WHEN 3 THEN 'noext' WHEN 4 THEN 'd.env' WHEN 5 THEN 'e.tf' WHEN 6 THEN '.sql' ELSE 'f.xyz' END"
 _add("ext_family", lambda spark, sf: _views(spark, sf, f"SELECT s_suppkey, {_EXT} AS n FROM supplier").select("s_suppkey", formats.suffix(F.col("n")).alias("suffix"), formats.family(F.col("n"), F.lit("SELECT 1")).alias("family"), formats.type_label(formats.family(F.col("n"), F.lit("SELECT 1"))).alias("label"), formats.stem(F.col("n")).alias("stem")),
@@ -147,20 +158,20 @@ _add("json_strings", lambda spark, sf: _views(spark, sf, "SELECT event_id, try_p
 def _notebooks(spark: SparkSession, sf: str) -> DataFrame:
     cells = "concat('{\"cells\":[{\"cell_type\":\"code\",\"source\":[\"x = ', n_nationkey, '\"]},{\"cell_type\":\"markdown\",\"source\":\"# t\"},{\"cell_type\":\"code\",\"source\":\"%%sql\\\\nSELECT ', n_nationkey, '\"}]}')"
     rows = _views(spark, sf, f"SELECT n_nationkey AS file_pos, concat('n', n_nationkey, '.ipynb') AS file_name, concat('/n', n_nationkey) AS path, cast({cells} AS binary) AS content FROM nation")
-    return lineage.explode_chunks(rows).select("file_name", F.col("chunk_pos").cast("long").alias("chunk_pos"), "dialect", "content")
+    return readers.explode_chunks(rows).select("file_name", F.col("chunk_pos").cast("long").alias("chunk_pos"), "dialect", "content")
 
 
 _add("notebook_cells", _notebooks, "SELECT concat('n', n_nationkey, '.ipynb') AS file_name, CAST(0 AS BIGINT) AS chunk_pos, 'python' AS dialect, concat('x = ', n_nationkey) AS content FROM nation UNION ALL SELECT concat('n', n_nationkey, '.ipynb'), 1, 'sql', concat('SELECT ', n_nationkey) FROM nation")
 
-# --- lineage of statements
+# --- flow of statements
 _COLUMNS = "source_database, source_table, source_column, target_database, target_table, target_column, sql_operation"
 
 
-def _statement_lineage(spark: SparkSession, sf: str) -> DataFrame:
-    return lineage.statement_facts(_views(spark, sf, STATEMENTS), "sql", "id").where("primary").drop("primary")
+def _statement_flow(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.statement_facts(_views(spark, sf, STATEMENTS), "sql", "id").where("primary").drop("primary")
 
 
-_add("column_lineage", _statement_lineage, """WITH p AS (SELECT p_partkey AS id FROM part)
+_add("column_flow", _statement_flow, """WITH p AS (SELECT p_partkey AS id FROM part)
 SELECT id, 'silver' AS source_database, concat('s', id % 20) AS source_table, concat('c', id % 7) AS source_column, 'gold' AS target_database, concat('t', id % 50) AS target_table, concat('c', id % 7) AS target_column, 'SELECT' AS sql_operation FROM p WHERE id % 4 = 0
 UNION ALL SELECT id, 'silver', concat('r', id % 11), concat('v', id % 5), 'gold', concat('t', id % 50), concat('total', id % 3), 'AGGREGATE' FROM p WHERE id % 4 = 0
 UNION ALL SELECT id, 'bronze', concat('b', id % 17), concat('k', id % 9), 'gold', concat('x', id % 13), concat('k', id % 9), 'SELECT' FROM p WHERE id % 4 = 1
@@ -183,38 +194,38 @@ _P = "WITH p AS (SELECT c_custkey AS id, c_nationkey AS n FROM customer) "
 
 
 def _facts_of(spark: SparkSession, sf: str, sql: str, dependencies: bool = False) -> DataFrame:
-    return lineage.column_facts(_files(spark, sf, sql), dependencies).where("primary").drop("primary", "pos", "file_path")
+    return readers.column_facts(_files(spark, sf, sql), dependencies).where("primary").drop("primary", "pos", "file_path")
 
 
 _HEAD = "SELECT 'PySpark' AS file_type, concat('j', id) AS job_name, 'raw' AS source_database, {} FROM p"
-_add("pyspark_lineage", lambda spark, sf: _facts_of(spark, sf, _PYTHON, True), _P + " UNION ALL ".join(_HEAD.format(x) for x in (
+_add("pyspark_flow", lambda spark, sf: _facts_of(spark, sf, _PYTHON, True), _P + " UNION ALL ".join(_HEAD.format(x) for x in (
     "concat('s', id % 20) AS source_table, concat('k', id % 3) AS source_column, 'gold' AS target_database, concat('t', id % 9) AS target_table, concat('k', id % 3) AS target_column, 'JOIN' AS sql_operation",
     "concat('r', id % 7), 'id', 'gold', concat('t', id % 9), 'id', 'JOIN'",
     "concat('s', id % 20), concat('c', id % 5), 'gold', concat('t', id % 9), concat('c', id % 5), 'SELECT'",
     "concat('s', id % 20), 'v', 'gold', concat('t', id % 9), concat('w', id % 4), 'ALIAS'",
     "concat('s', id % 20), concat('q', id % 6), 'gold', concat('u', id % 8), 'total', 'AGGREGATE'")))
 _lists = lambda df, *names: df.select(*(F.array_join(c, ";").alias(c) if c in names else F.col(c) for c in df.columns))
-_add("table_lineage_per_write", lambda spark, sf: _lists(lineage.table_facts(_files(spark, sf, _PYTHON)), "source_tables", "target_tables", "key_columns", "kpis").drop("file_path", "schedule", "owner"),
+_add("table_flow_per_write", lambda spark, sf: _lists(readers.table_facts(_files(spark, sf, _PYTHON)), "source_tables", "target_tables", "key_columns", "kpis").drop("file_path", "schedule", "owner"),
      _P + """SELECT concat('j', id) AS job_name, 'curated' AS job_type, concat('d', n) AS domain, 'unknown' AS subject_area, 'join -> select' AS transformation_logic, concat('s', id % 20, ';r', id % 7) AS source_tables, concat('t', id % 9) AS target_tables, concat('k', id % 3, ';id') AS key_columns, '' AS kpis FROM p
 UNION ALL SELECT concat('j', id), 'aggregation', concat('d', n), 'unknown', 'join -> select -> groupBy -> agg', concat('s', id % 20, ';r', id % 7), concat('u', id % 8), concat('k', id % 3, ';id;g'), 'total' FROM p""")
-_add("constructs_pyspark", lambda spark, sf: _lists(lineage.construct_facts(_files(spark, sf, _PYTHON)), "source_tables", "target_tables", "constructs_found").select("job_name", "file_type", "source_tables", "target_tables", "constructs_found", F.col("construct_count").cast("long").alias("construct_count"), "complexity", "has_udf", "has_delta_ops"),
+_add("constructs_pyspark", lambda spark, sf: _lists(readers.construct_facts(_files(spark, sf, _PYTHON)), "source_tables", "target_tables", "constructs_found").select("job_name", "file_type", "source_tables", "target_tables", "constructs_found", F.col("construct_count").cast("long").alias("construct_count"), "complexity", "has_udf", "has_delta_ops"),
      _P + "SELECT concat('j', id) AS job_name, 'PySpark' AS file_type, concat('s', id % 20, ';r', id % 7) AS source_tables, concat('t', id % 9, ';u', id % 8) AS target_tables, 'repartition;format(orc)' AS constructs_found, CAST(2 AS BIGINT) AS construct_count, 'rewrite' AS complexity, FALSE AS has_udf, FALSE AS has_delta_ops FROM p")
 _PBIT = """SELECT n_nationkey AS id, concat('rep', n_nationkey, '.pbit') AS name, concat('{"dataSources":[{"type":"sql","queries":[{"name":"q","query":"SELECT a', n_nationkey, ' FROM gold.s', n_regionkey, ' WHERE a', n_nationkey, ' > 1"}]}],"dataModel":{"tables":[{"name":"T', n_nationkey, '","source":"gold.m', n_regionkey, '","columns":[{"name":"x"},{"name":"y"}]}]},"measures":[{"table":"T","name":"M","expression":"SUM(T[x])"}]}') AS code FROM nation"""
 _N = "WITH p AS (SELECT n_nationkey AS id, n_regionkey AS r FROM nation) "
-_add("pbit_columns", lambda spark, sf: relational.with_report_targets(lineage.column_facts(_files(spark, sf, _PBIT)).where("primary")).drop("primary", "pos", "file_path"),
+_add("pbit_columns", lambda spark, sf: relational.with_report_targets(readers.column_facts(_files(spark, sf, _PBIT)).where("primary")).drop("primary", "pos", "file_path"),
      _N + " UNION ALL ".join(f"SELECT 'PowerBI' AS file_type, concat('rep', id) AS job_name, 'gold' AS source_database, {x} FROM p" for x in (
          "concat('m', r) AS source_table, 'x' AS source_column, 'report' AS target_database, concat('rep', id) AS target_table, 'x' AS target_column, 'SELECT' AS sql_operation",
          "concat('m', r), 'y', 'report', concat('rep', id), 'y', 'SELECT'", "concat('s', r), concat('a', id), 'report', concat('rep', id), concat('a', id), 'SELECT, FILTER'")))
 _LOOK = """SELECT n_nationkey AS id, concat('l', n_nationkey, '.lkml') AS name, concat('view: v', n_nationkey, ' { sql_table_name: ops.f', n_regionkey, ' ;; dimension: id { primary_key: yes sql: $', '{TABLE}.id ;; } measure: n { type: sum sql: $', '{TABLE}.w ;; } }') AS code FROM nation"""
 _QLIK = """SELECT 100 + n_nationkey AS id, concat('q', n_nationkey, '.qvs') AS name, concat('L', n_nationkey, ':', chr(10), 'SQL SELECT a, SUM(b) AS t FROM scm.f', n_regionkey, ' GROUP BY a;') AS code FROM nation"""
-_add("report_tables", lambda spark, sf: _lists(lineage.report_facts(_files(spark, sf, f"{_PBIT} UNION ALL {_LOOK} UNION ALL {_QLIK}")), "sql_names", "tables", "columns", "operations").drop("file_path", "domain", "subject_area"),
+_add("report_tables", lambda spark, sf: _lists(readers.report_facts(_files(spark, sf, f"{_PBIT} UNION ALL {_LOOK} UNION ALL {_QLIK}")), "sql_names", "tables", "columns", "operations").drop("file_path", "domain", "subject_area"),
      _N + """SELECT concat('rep', id) AS report_name, 'PowerBI' AS tool_name, 'q' AS sql_names, concat('s', r) AS tables, concat('a', id, ';x;y') AS columns, 'SELECT;FILTER;AGGREGATE' AS operations FROM p
 UNION ALL SELECT concat('l', id), 'Looker', concat('v', id), concat('f', r), 'id;w', 'SELECT;AGGREGATE' FROM p
 UNION ALL SELECT concat('q', id), 'Qlik', '', concat('f', r), 'a;b', 'SELECT;AGGREGATE' FROM p""")
-_add("diagnostics", lambda spark, sf: lineage.diagnostics(_files(spark, sf, "SELECT n_nationkey AS id, concat('f', n_nationkey, '.py') AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'def (' ELSE 'DOMAIN = \"x\"' END AS code FROM nation")).select("file_path", "level", F.substring_index("message", ":", 2).alias("message")),
+_add("diagnostics", lambda spark, sf: readers.diagnostics(_files(spark, sf, "SELECT n_nationkey AS id, concat('f', n_nationkey, '.py') AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'def (' ELSE 'DOMAIN = \"x\"' END AS code FROM nation")).select("file_path", "level", F.substring_index("message", ":", 2).alias("message")),
      "SELECT concat('/f', n_nationkey, '.py') AS file_path, 'error' AS level, 'python: SyntaxError' AS message FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT concat('/f', n_nationkey, '.py'), 'warning', 'missing DOMAIN metadata' FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT concat('/f', n_nationkey, '.py'), 'warning', 'missing SUBJECT_AREA metadata' FROM nation")
 _DEPS = """SELECT s_suppkey AS id, concat('WITH q AS (SELECT a.x, b.y FROM d.a', s_suppkey % 5, ' a JOIN d.b b ON a.k = b.k WHERE a.z > 1) INSERT INTO g.t', s_suppkey % 3, ' SELECT q.x FROM q WHERE q.x < 5') AS sql FROM supplier"""
-_add("dependencies", lambda spark, sf: lineage.statement_facts(_views(spark, sf, _DEPS), "sql", "id", True).where("primary").drop("primary"),
+_add("dependencies", lambda spark, sf: readers.statement_facts(_views(spark, sf, _DEPS), "sql", "id", True).where("primary").drop("primary"),
      " UNION ALL ".join(f"SELECT s_suppkey AS id, 'd' AS source_database, {x}, 'g' AS target_database, concat('t', s_suppkey % 3) AS target_table, {y} FROM supplier" for x, y in (
          ("concat('a', s_suppkey % 5) AS source_table, 'z' AS source_column", "'—' AS target_column, 'FILTER_DEPENDENCY' AS sql_operation"), ("concat('a', s_suppkey % 5), 'k'", "'—', 'JOIN_KEY'"), ("'b', 'k'", "'—', 'JOIN_KEY'"), ("concat('a', s_suppkey % 5), 'x'", "'x', 'SELECT, FILTER'"))))
 _add("sql_in_python", lambda spark, sf: _views(spark, sf, "SELECT s_suppkey AS id, concat('x = spark.sql(\"SELECT a', s_suppkey, ' FROM t\")', chr(10), 'y = spark.sql(v)') AS v FROM supplier").select("id", F.array_join(t.sql_strings(F.col("v")), "|").alias("v")),
@@ -222,7 +233,7 @@ _add("sql_in_python", lambda spark, sf: _views(spark, sf, "SELECT s_suppkey AS i
 _CHUNKS = """SELECT s_suppkey AS id, concat('c', s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN '.sh' WHEN 1 THEN '.yaml' WHEN 2 THEN '.tf' WHEN 3 THEN '.json' ELSE '.xml' END) AS name, CASE s_suppkey % 5
  WHEN 0 THEN concat('psql -c \"SELECT a FROM t', s_suppkey, ' WHERE 1 = 1\"') WHEN 1 THEN concat('m:', chr(10), '  sql: |', chr(10), '    SELECT a FROM t', s_suppkey, ' WHERE 1 = 1', chr(10)) WHEN 2 THEN concat('query = \"SELECT a FROM t', s_suppkey, ' WHERE 1 = 1\"')
  WHEN 3 THEN concat('{\"q\": [{\"s\": \"SELECT a FROM t', s_suppkey, ' WHERE 1 = 1\"}]}') ELSE concat('<a><sqlText>SELECT a FROM t', s_suppkey, ' WHERE 1 = 1</sqlText></a>') END AS code FROM supplier"""
-_add("chunk_formats", lambda spark, sf: lineage.explode_chunks(_files(spark, sf, _CHUNKS)).select("file_name", "dialect", F.trim("content").alias("content")),
+_add("chunk_formats", lambda spark, sf: readers.explode_chunks(_files(spark, sf, _CHUNKS)).select("file_name", "dialect", F.trim("content").alias("content")),
      "SELECT concat('c', s_suppkey, ['.sh', '.yaml', '.tf', '.json', '.xml'][s_suppkey % 5 + 1]) AS file_name, 'sql' AS dialect, concat('SELECT a FROM t', s_suppkey, ' WHERE 1 = 1') AS content FROM supplier")
 
 # --- relations between facts
@@ -278,6 +289,67 @@ _E2E_SUM = ORACLE["e2e_tables"]
 _add("e2e_summary", lambda spark, sf: relational.summary(_e2e_tables(spark, sf)), f"""WITH e AS ({_E2E_SUM}) SELECT unnest(['rows', 'matched', 'unmatched', 'reports', 'tables']) AS metric,
  unnest([count(*), count(*) FILTER (WHERE report_name <> '— no match found'), count(*) FILTER (WHERE report_name = '— no match found'), count(DISTINCT report_name) FILTER (WHERE report_name <> '— no match found'), count(DISTINCT target_table)]) AS value FROM e""")
 
+# --- shapes of statements beyond the plain ones: all rows of the facts, and which of them the ten-column view shows
+_T5, _P7 = "concat('t', s_suppkey % 5)", "s_suppkey % 7"
+_HEAD5 = "concat('INSERT INTO g.t', s_suppkey % 5, "
+_SHAPES = {
+    "union_flow": f"""CASE s_suppkey % 3 WHEN 0 THEN {_HEAD5}' SELECT a AS x FROM d.p', {_P7}, ' UNION ALL SELECT b FROM d.u', s_suppkey % 4)
+ WHEN 1 THEN {_HEAD5}' SELECT q.x FROM (SELECT a AS x FROM d.p', {_P7}, ' UNION SELECT SUM(c) FROM e.r', s_suppkey % 2, ') q')
+ ELSE {_HEAD5}' SELECT a AS x FROM d.m EXCEPT SELECT a FROM d.n', s_suppkey % 4) END""",
+    "multi_source": f"{_HEAD5}' SELECT a.x + b.y AS z, COALESCE(a.p, b.q) AS w FROM d.a', {_P7}, ' a JOIN d.b b ON a.i = b.j')",
+    "window_case_flow": f"{_HEAD5}' SELECT ROW_NUMBER() OVER (PARTITION BY a.k ORDER BY a.d) AS rn, CASE WHEN a.s > 1 THEN a.v ELSE a.w END AS c, SUM(a.v) AS total FROM d.a', {_P7}, ' a')",
+    "subquery_scope": f"{_HEAD5}' SELECT (SELECT MAX(v.n) FROM d.v v WHERE v.g = r.g) AS k, r.x FROM d.r', {_P7}, ' r WHERE r.y IN (SELECT z FROM d.z)')",
+    "self_join_flow": f"{_HEAD5}' SELECT a.x, b.x AS bx, c.y FROM d.e', {_P7}, ' a JOIN d.e', {_P7}, ' b ON a.boss = b.id, d.f c')",
+}
+#: (which statements, source database, table, column, target column, operation, shown)
+_SHAPE_ROWS = {
+    "union_flow": [
+        ("s_suppkey % 3 = 0", "d", f"concat('p', {_P7})", "a", "x", "ALIAS", True), ("s_suppkey % 3 = 0", "d", "concat('u', s_suppkey % 4)", "b", "x", "SELECT", True),
+        ("s_suppkey % 3 = 1", "d", f"concat('p', {_P7})", "a", "x", "ALIAS", True), ("s_suppkey % 3 = 1", "e", "concat('r', s_suppkey % 2)", "c", "x", "AGGREGATE", True),
+        ("s_suppkey % 3 = 2", "d", "'m'", "a", "x", "ALIAS", True), ("s_suppkey % 3 = 2", "d", "concat('n', s_suppkey % 4)", "a", "x", "SELECT", True)],
+    "multi_source": [("TRUE", "d", f"concat('a', {_P7})", "x", "z", "ALIAS", False), ("TRUE", "d", "'b'", "y", "z", "ALIAS", False), ("TRUE", "", "''", "expr", "z", "ALIAS", True),
+                     ("TRUE", "d", f"concat('a', {_P7})", "p", "w", "ALIAS", True), ("TRUE", "d", "'b'", "q", "w", "ALIAS", False)],
+    "window_case_flow": [("TRUE", "d", f"concat('a', {_P7})", *x) for x in (("k", "rn", "WINDOW", True), ("s", "c", "ALIAS", True), ("v", "c", "ALIAS", False), ("w", "c", "ALIAS", False), ("v", "total", "AGGREGATE", True))],
+    "subquery_scope": [("TRUE", "d", "'v'", "n", "k", "AGGREGATE", True), ("TRUE", "d", f"concat('r', {_P7})", "x", "x", "SELECT", True)],
+    "self_join_flow": [("TRUE", "d", f"concat('e', {_P7})", "x", "x", "SELECT", True), ("TRUE", "d", f"concat('e', {_P7})", "x", "bx", "ALIAS", True), ("TRUE", "d", "'f'", "y", "y", "SELECT", True)],
+}
+
+
+def _shape(name: str) -> None:
+    statements = f"SELECT s_suppkey AS id, {_SHAPES[name]} AS sql FROM supplier"
+    rows = " UNION ALL ".join(f"SELECT s_suppkey AS id, '{db}' AS source_database, {table} AS source_table, '{column}' AS source_column, 'g' AS target_database, {_T5} AS target_table, '{out}' AS target_column, '{op}' AS sql_operation, {shown} AS shown FROM supplier WHERE {where}"
+                              for where, db, table, column, out, op, shown in _SHAPE_ROWS[name])
+    _add(name, lambda spark, sf: readers.statement_facts(_views(spark, sf, statements), "sql", "id").withColumnRenamed("primary", "shown"), rows)
+
+
+for _name in _SHAPES:
+    _shape(_name)
+
+# --- parts of reports, and of scripts in other languages
+_QVS = """SELECT s_suppkey AS id, concat('q', s_suppkey, '.qvs') AS name, concat('Stock', s_suppkey % 3, ':', chr(10), 'LOAD item, qty FROM [lib://Files/moves', s_suppkey % 4, '.qvd] (qvd);', chr(10), 'Sums:', chr(10), 'LOAD item, Sum(qty) AS total RESIDENT Stock', s_suppkey % 3, ' GROUP BY item;', chr(10), 'STORE Sums INTO [lib://Out/sums', s_suppkey % 5, '.qvd] (qvd);') AS code FROM supplier"""
+_parts = lambda df: _lists(df, "source_tables", "target_tables", "key_columns", "kpis").select("job_name", "job_type", "transformation_logic", "source_tables", "target_tables", "key_columns", "kpis")
+_add("qlik_parts", lambda spark, sf: _parts(readers.table_facts(_files(spark, sf, _QVS))),
+     """SELECT concat('q', s_suppkey) AS job_name, 'curated' AS job_type, concat('LOAD Stock', s_suppkey % 3) AS transformation_logic, concat('moves', s_suppkey % 4) AS source_tables, concat('Stock', s_suppkey % 3) AS target_tables, '' AS key_columns, '' AS kpis FROM supplier
+UNION ALL SELECT concat('q', s_suppkey), 'aggregation', 'LOAD Sums', concat('Stock', s_suppkey % 3), 'Sums', 'item', 'total (SUM)' FROM supplier
+UNION ALL SELECT concat('q', s_suppkey), 'curated', 'STORE Sums: store Sums', 'Sums', concat('sums', s_suppkey % 5), '', '' FROM supplier""")
+_LKML = """SELECT s_suppkey AS id, concat('l', s_suppkey, '.lkml') AS name, concat('view: v { sql_table_name: ops.f', s_suppkey % 3, ' ;; dimension: id { primary_key: yes sql: $', '{TABLE}.id ;; } measure: n { type: sum sql: $', '{TABLE}.w ;; } } explore: e', s_suppkey % 4, ' { from: v join: u { relationship: one_to_one sql_on: $', '{v.id} = $', '{u.k} ;; } } dashboard: d { element: t { type: table explore: e', s_suppkey % 4, ' fields: [v.id, v.n] } }') AS code FROM supplier"""
+_add("lookml_parts", lambda spark, sf: _parts(readers.table_facts(_files(spark, sf, _LKML))),
+     """SELECT concat('l', s_suppkey) AS job_name, 'aggregation' AS job_type, 'view v: view v' AS transformation_logic, concat('f', s_suppkey % 3) AS source_tables, 'v' AS target_tables, 'id' AS key_columns, 'v.n (sum)' AS kpis FROM supplier
+UNION ALL SELECT concat('l', s_suppkey), 'curated', concat('explore e', s_suppkey % 4, ': explore e', s_suppkey % 4, ', join u (one_to_one)'), 'v;u', concat('e', s_suppkey % 4), 'id;k', '' FROM supplier
+UNION ALL SELECT concat('l', s_suppkey), 'curated', 'dashboard d: dashboard d: 1 tiles, tile t (table): v.id, v.n', concat('e', s_suppkey % 4), 'd', '', '' FROM supplier""")
+_PARTS = """SELECT s_suppkey AS id, concat('b', s_suppkey, '.pbit') AS name, concat('{"dataSources":[{"name":"ds","type":"sql","queries":[{"name":"q","query":"SELECT a FROM gold.s', s_suppkey % 3, '"}]}],"transformations":[{"name":"M', s_suppkey % 4, '","mExpression":"let Source = Sql.Database(\\\\"srv\\\\", \\\\"db', s_suppkey % 5, '\\\\"), T = Source{[Schema=\\\\"dbo\\\\",Item=\\\\"orders\\\\"]}[Data], G = Table.Group(T, {\\\\"k\\\\"}, {}) in G"}],"dataModel":{"relationships":[{"from":"A","to":"B","fromColumn":"x","toColumn":"y"}]},"pages":[{"name":"p","visuals":[{"type":"bar","axis":"A[x]","values":["B.total"]}]}]}') AS code FROM supplier"""
+_add("powerbi_parts", lambda spark, sf: _parts(readers.table_facts(_files(spark, sf, _PARTS))),
+     """SELECT concat('b', s_suppkey) AS job_name, 'curated' AS job_type, 'data source ds' AS transformation_logic, concat('s', s_suppkey % 3) AS source_tables, '' AS target_tables, '' AS key_columns, '' AS kpis FROM supplier
+UNION ALL SELECT concat('b', s_suppkey), 'curated', concat('transformation M', s_suppkey % 4, ': database db', s_suppkey % 5, ', M: Group'), 'orders', concat('M', s_suppkey % 4), '', '' FROM supplier
+UNION ALL SELECT concat('b', s_suppkey), 'curated', 'relationship A - B: relationship A - B', '', '', 'x;y', '' FROM supplier
+UNION ALL SELECT concat('b', s_suppkey), 'curated', 'page p: visual bar on p; axis: A[x]; values: B.total', '', '', '', '' FROM supplier""")
+_OTHER = """SELECT s_suppkey AS id, concat('o', s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN '.r' WHEN 1 THEN '.scala' WHEN 2 THEN '.rmd' ELSE '.sh' END) AS name, CASE s_suppkey % 4
+ WHEN 0 THEN concat('x <- dbGetQuery(con, "INSERT INTO g.t SELECT a FROM d.t', s_suppkey % 9, '")') WHEN 1 THEN concat('val d = spark.sql(\"\"\"INSERT INTO g.t SELECT a FROM d.t', s_suppkey % 9, '\"\"\")')
+ WHEN 2 THEN concat('text', chr(10), '```{sql x}', chr(10), 'INSERT INTO g.t SELECT a FROM d.t', s_suppkey % 9, chr(10), '```', chr(10)) ELSE concat('bq query << EOF', chr(10), 'INSERT INTO g.t SELECT a FROM d.t', s_suppkey % 9, chr(10), 'EOF') END AS code FROM supplier"""
+_add("other_languages", lambda spark, sf: readers.column_facts(_files(spark, sf, _OTHER)).select("job_name", "source_database", "source_table", "source_column", "target_table", "target_column", "sql_operation"),
+     "SELECT concat('o', s_suppkey) AS job_name, 'd' AS source_database, concat('t', s_suppkey % 9) AS source_table, 'a' AS source_column, 't' AS target_table, 'a' AS target_column, 'SELECT' AS sql_operation FROM supplier")
+
+
 # --- constructs that the analysed code uses, executed
 _same("x_lateral_explode", "SELECT p_partkey, w FROM part LATERAL VIEW explode(split(p_name, ' ')) v AS w", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part")
 _same("x_posexplode", "SELECT p_partkey, pos, w FROM part LATERAL VIEW posexplode(split(p_type, ' ')) v AS pos, w", "SELECT p_partkey, CAST(i - 1 AS INTEGER) AS pos, string_split(p_type, ' ')[i] AS w FROM part, unnest(range(1, len(string_split(p_type, ' ')) + 1)) AS u(i)")

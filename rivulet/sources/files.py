@@ -22,6 +22,8 @@ from ..schemas import FILES
 DEFAULT_PATTERNS = ("*.sql", "*.py", "*.ipynb")
 REPORT_PATTERNS = ("*.pbit", "*.lkml", "*.qvs")
 CLONE_SECONDS, VERSION_SECONDS = 120, 10
+#: Numbers of files that are broadcast: some 200 MB at most, with paths of 200 characters.
+BROADCAST_FILES = 1_000_000
 
 
 @dataclass
@@ -32,7 +34,7 @@ class Config:
     file_patterns: list[str] = field(default_factory=lambda: list(DEFAULT_PATTERNS))
     reporting_patterns: list[str] = field(default_factory=lambda: list(REPORT_PATTERNS))
     exclusions: list[str] = field(default_factory=list)
-    output_path: str = "output/lineage.csv"
+    output_path: str = "output/flow.csv"
 
     @classmethod
     def load(cls, path: str) -> Config:
@@ -51,7 +53,7 @@ def scan(spark: SparkSession, root: str, patterns: Iterable[str] = DEFAULT_PATTE
     """All files below ``root`` whose name fits a pattern and whose path has no excluded component, in order of path.
 
     Names are matched on the path column, which Spark has before it reads contents; order is a number, so that it outlives
-    shuffles.
+    shuffles. Paths alone are numbered; up to ``BROADCAST_FILES`` numbers are broadcast to where contents are read.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     name = F.regexp_replace(F.substring_index("path", "/", -1), "%20", " ")
@@ -59,13 +61,15 @@ def scan(spark: SparkSession, root: str, patterns: Iterable[str] = DEFAULT_PATTE
     excluded = [x.strip("/") for x in exclusions]
     if excluded:
         found = found.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, excluded))))
-    return numbered(found, "path")
+    ranked = numbered(found.select("path"), "path")
+    small = ranked.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
+    return found.join(F.broadcast(ranked) if small else ranked, "path").select("path", "file_name", "content", "file_pos")
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
     """With ``file_pos``, which grows with a column, by a range-partitioned sort; no task sees all rows.
 
-    24 bits count the rows of a partition, so that a fact's ordinal (16 bits more) fits a long with eight million partitions.
+    24 bits count the rows of a partition, so that a file's ordinal fits a long with 2 ** 39 partitions.
     """
     ranged = df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, order).sortWithinPartitions(order)
     raw = F.monotonically_increasing_id()
@@ -101,18 +105,25 @@ def from_git(spark: SparkSession, url: str, branch: str = "main", path: str = ""
 
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def read_workbook(content: str) -> dict[str, list[dict[str, str]]]:
-    """All sheets of an xlsx file as rows of trimmed text; blank headings are ``col_i``, sheets with fewer than two rows empty."""
+def read_workbook(content) -> dict[str, list[dict[str, str]]]:
+    """All sheets of an xlsx file (a path, or an open file) as rows of trimmed text, found by relationship; blank headings are ``col_i``, sheets with fewer than two rows empty."""
     with zipfile.ZipFile(content) as z:
         names = set(z.namelist())
         shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        parts = {x.get("Id"): x.get("Target", "") for x in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         out = {}
-        for k, sheet in enumerate(book.find("m:sheets", _NS), 1):
+        for sheet in book.find("m:sheets", _NS):
+            target = parts.get(sheet.get(_RELATION), "")
+            part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            if part not in names or "chartsheets" in part:
+                out[sheet.get("name")] = []
+                continue
             rows = []
-            for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{k}.xml")).iter(f"{{{_NS['m']}}}row"):
+            for row in ElementTree.fromstring(z.read(part)).iter(f"{{{_NS['m']}}}row"):
                 cells: dict[int, str] = {}
                 for c in row:
                     letters = re.match(r"[A-Z]+", c.get("r", "")) or re.match("A", "A")
@@ -129,3 +140,28 @@ def read_workbook(content: str) -> dict[str, list[dict[str, str]]]:
             heads = [rows[0].get(i) or f"col_{i - 1}" for i in range(1, width + 1)]
             out[sheet.get("name")] = [{h: r.get(i, "") for i, h in enumerate(heads, 1)} for r in rows[1:]]
     return out
+
+
+def workbook_rows(books: DataFrame) -> DataFrame:
+    """Rows of all sheets of workbooks (path, content): ``path, sheet, row, cells map<string,string>``; a broken book has none."""
+    from ..shipping import ship
+
+    ship(books.sparkSession)
+
+    def run(batches):
+        import io
+
+        import pyarrow as pa
+
+        schema = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("row", pa.int64()), ("cells", pa.map_(pa.string(), pa.string()))])
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    book = read_workbook(io.BytesIO(content or b""))
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                    continue
+                rows = [(path, sheet, k, list(r.items())) for sheet, found in book.items() for k, r in enumerate(found)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return books.select("path", "content").mapInArrow(run, "path string, sheet string, row long, cells map<string,string>")

@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from rivulet.functions import bi, chunks, formats, pyscope
-from rivulet.operators import lineage
+from rivulet.operators import readers
 from rivulet.plans import pipelines, sinks
 from rivulet.sources import files
 
@@ -102,7 +102,7 @@ def test_unified(spark, tmp_path):
     assert [(r.removed_file, r.duplicate_of) for r in u.duplicates.collect()] == [("copy.sql", "a.sql")]
     e2e = {(r.source_table, r.source_column, r.target_column, r.report_table) for r in u.end_to_end.collect()}
     assert ("orders", "amount", "total", "r") in e2e and ("orders", "cust", "cust", "r") in e2e
-    roll = {(r.source_table, r.target_table): r for r in u.table_lineage.collect()}
+    roll = {(r.source_table, r.target_table): r for r in u.table_flow.collect()}
     assert roll["orders", "sums"].column_count == 2 and roll["orders", "sums"].operations == "AGGREGATE, SELECT"
     assert u.circular.count() == 0  # a report reads the table that pipelines both write and read
     summary = {r.file_path: r for r in u.job_summary.collect()}
@@ -110,7 +110,7 @@ def test_unified(spark, tmp_path):
     path = str(tmp_path / "out.xlsx")
     sinks.write_workbook(u.sheets(), path)
     sheets = files.read_workbook(path)
-    assert list(sheets) == list(u.sheets()) and len(sheets["Table Lineage"]) == len(roll)
+    assert list(sheets) == list(u.sheets()) and len(sheets["Table Flow"]) == len(roll)
     u.close()
     assert sinks.versioned(str(tmp_path / "x.csv")).endswith("x_v1.csv")
     sinks.write_csv(u.duplicates, str(tmp_path / "csv"))
@@ -124,7 +124,7 @@ def test_circular_without_report(spark):
 
 
 def test_table_level_migration_reporting(spark):
-    rows, problems = pipelines.table_lineage(all_files(spark))
+    rows, problems = pipelines.table_flow(all_files(spark))
     got = {(r.file_path, tuple(r.target_tables)): r for r in rows.collect()}
     r = got["a.sql", ("sums",)]
     assert (r.domain, r.owner, r.schedule, r.job_type, list(r.source_tables), list(r.kpis)) == ("retail", "me", None, "aggregation", ["orders"], ["total"])
@@ -151,7 +151,7 @@ def test_scan(spark, tmp_path):
     (tmp_path / "in dir" / "skip" / "d.sql").write_bytes(b"SELECT 2")
     found = files.scan(spark, str(tmp_path), ["*.sql", "*.py"], ["skip/"]).orderBy("file_pos").collect()
     assert [r.file_name for r in found] == ["b.sql", "c.py"] and len({r.file_pos for r in found}) == 2
-    assert lineage.column_facts(files.scan(spark, str(tmp_path))).count() >= 0
+    assert readers.column_facts(files.scan(spark, str(tmp_path))).count() >= 0
 
 
 def test_git(spark, tmp_path):
@@ -185,15 +185,15 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "code" / "r.pbit").write_bytes(PBIT)
     for job in ("unified", "columns", "tables", "migration", "reports", "e2e"):
         assert main([job, str(tmp_path / "code"), str(tmp_path / job)]) == 0
-    assert spark.read.parquet(str(tmp_path / "unified" / "column_lineage")).count() == 6
+    assert spark.read.parquet(str(tmp_path / "unified" / "column_flow")).count() == 6
     (tmp_path / "code" / "bad.py").write_bytes(b"def (")
     assert main(["columns", str(tmp_path / "code"), str(tmp_path / "again.xlsx"), "--format", "xlsx"]) == 1
-    assert set(files.read_workbook(str(tmp_path / "again.xlsx"))) == {"Column Lineage", "Job Summary"}
+    assert set(files.read_workbook(str(tmp_path / "again.xlsx"))) == {"Column Flow", "Job Summary"}
 
 
 def test_statements_are_kept_whole(spark):
     """The transformation logic is the statement as written, whatever its length."""
     sql = "INSERT INTO gold.wide\nSELECT " + ",\n  ".join(f"o.column_{k} AS c{k}" for k in range(200)) + "\nFROM silver.orders o"
     rows = [("/c/a.sql", "a.sql", bytearray(sql.encode()), 0)]
-    got = lineage.table_facts(spark.createDataFrame(rows, "path string, file_name string, content binary, file_pos long")).collect()
+    got = readers.table_facts(spark.createDataFrame(rows, "path string, file_name string, content binary, file_pos long")).collect()
     assert [r.transformation_logic for r in got] == [sql]
