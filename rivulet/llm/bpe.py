@@ -22,14 +22,16 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from .common import id_text, ship
+from .common import id_text, ship, take_over
 
 #: Most different pieces that a worker remembers.
-CACHE = 500_000
+CACHE = 300_000
 #: Rows of all rounds that one recursive query may leave behind, about; what is not done then goes on in another one.
 HISTORY = 3_000_000
 #: Bytes of pieces in one recursive query, about; a longer piece is taken whole.
 BLOCK = 250_000
+#: Rows whose texts are Python strings at a time.
+ROWS = 1_000
 
 #: ``state`` has a row for each token of each piece: where it stands, where the next one stands, its id and the next one's (-1
 #: at the end), ``rk``: twice the rank of the pair of both, one more if the pair is unsafe, null if there is none, and
@@ -247,11 +249,18 @@ class Codec:
 _codecs: dict[tuple[int, str], Codec] = {}
 
 
+def _release() -> None:
+    for c in _codecs.values():
+        c.db.close()
+    _codecs.clear()
+
+
 def codec(shared, pattern: str) -> Codec:
     """The worker's own codec for these broadcast ranks."""
+    take_over("bpe", _release)
     key = (shared.value["key"], pattern)
     if key not in _codecs:
-        _codecs.clear()
+        _release()
         _codecs[key] = Codec(shared.value["ranks"], pattern)
     return _codecs[key]
 
@@ -289,8 +298,8 @@ def _run(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, col
 
     def run(batches):
         c = codec(shared, pattern)
-        for b in batches:
-            docs, texts = b.column(0), b.column(1).to_pylist()
+        for b, start in ((b, k) for b in batches for k in range(0, b.num_rows, ROWS)):
+            docs, texts = b.column(0).slice(start, ROWS), b.column(1).slice(start, ROWS).to_pylist()
             for i, j in blocks(texts):
                 codes, sizes = c.coded(texts[i:j])
                 got = c._documents(codes, sizes, columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, take_over
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Characters after which a conversation goes on in another row.
@@ -94,6 +94,7 @@ _formatters: dict[int, Formatter] = {}
 
 
 def _formatter(definition: str) -> Formatter:
+    take_over("chat", _formatters.clear)
     key = hash(definition)
     if key not in _formatters:
         _formatters.clear()

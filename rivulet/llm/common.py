@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -12,18 +14,20 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["column_name", "cut", "fresh", "id_text", "mix", "ngram_hashes", "replace_column", "shared_dir", "ship", "word_hashes"]
+__all__ = ["column_name", "cut", "fresh", "id_text", "mix", "ngram_hashes", "replace_column", "shared_dir", "ship", "take_over", "word_hashes"]
 
 _folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh name in this application's folder (``rivulet-APPLICATION``) below ``spark.checkpoint.dir``; below a temporary
-    folder only where that is unset. Results may be read late, so nothing is deleted here: drop the application's folder
+    """A fresh name in this application's folder (``rivulet-APPLICATION``) below ``spark.checkpoint.dir``; where that is unset,
+    below a temporary folder if driver and executors are one process, and an error on a cluster. Results may be read late, so nothing is deleted here: drop the application's folder
     when it has ended."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
         base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = base or "file://" + tempfile.mkdtemp(prefix="rivulet-checkpoint-")
         _folders[app] = base.rstrip("/")
     return f"{_folders[app]}/rivulet-{app}/{uuid.uuid4().hex}"
@@ -42,6 +46,29 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+_holders: dict[str, object] = {}
+_owner = ""
+
+
+def take_over(name: str, release=None) -> None:
+    """Called by an operator's tasks: what other operators remember in this Python worker is released, as workers outlive
+    stages; ``release`` does so for this one later."""
+    global _owner, _powers
+    if release is not None:
+        _holders[name] = release
+    if _owner == name:
+        return
+    for other, f in _holders.items():
+        if other != name:
+            f()
+    _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # freed memory goes back to the system
+        trim(0)
+    _owner = name
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A name that no column of ``df`` has, in any case."""
     taken = {c.lower() for c in df.columns}

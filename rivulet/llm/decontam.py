@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_name, id_text, ship, word_hashes
+from .common import column_name, id_text, ship, take_over, word_hashes
 
 SHINGLE, SHARE = 5, 0.8
 K1, B = 1.2, 0.75
@@ -314,6 +314,7 @@ def without(df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
 
     def free_of(df, shared):
         def run(batches):
+            take_over("decontamination")
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 keep[[r for r, *_ in _search_all(shared, [x or "" for x in b.column(place).to_pylist()])]] = False

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import column_name, id_text, ngram_hashes, replace_column, ship, word_hashes
+from .common import column_name, id_text, ngram_hashes, replace_column, ship, take_over, word_hashes
 
 WINDOW, MIN_WORDS, MAX_REPEAT_PCT = 8, 20, 30
 #: Least share of a document's words in lines that stay.
@@ -114,6 +114,7 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     names = [x.split()[0] for x in COLUMNS.split(", ")]
 
     def run(batches):
+        take_over("quality")
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
@@ -130,6 +131,7 @@ def clean(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_char
     names = df.columns
 
     def run(batches):
+        take_over("quality")
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)

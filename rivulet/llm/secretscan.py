@@ -24,7 +24,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import column_name, id_text, replace_column, ship
+from .common import column_name, id_text, replace_column, ship, take_over
 
 KINDS = ("assign", "access", "hex")
 ADDED = "format"
@@ -306,6 +306,7 @@ def find(df: DataFrame, labelled: dict[str, list[str]] | None = None, id_col: st
     names = ["doc_id", "n_assign", "n_access", "n_hex", "n_format", "base_sha256", "spans"]
 
     def run(batches):
+        take_over("secrets")
         automata = model.value
         for b in batches:
             found = [scan(x, automata) for x in b.column(1).to_pylist()]
@@ -335,6 +336,7 @@ def redact(df: DataFrame, labelled: dict[str, list[str]] | None = None, text_col
     names = df.columns
 
     def run(batches):
+        take_over("secrets")
         automata = model.value
         for b in batches:
             texts = [x if x is None else redacted(x, scan(x, automata)[1]) for x in b.column(names.index(text_col)).to_pylist()]

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, id_text, ship
+from .common import cut, fresh, id_text, ship, take_over
 
 SEED = 42
 #: Pairs of leaves compared at a time.
@@ -68,6 +68,7 @@ def fingerprints(df: DataFrame, k: int, id_col: str = "doc_id", text_col: str =
     ship(df.sparkSession)
 
     def run(batches):
+        take_over("simhash")
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
@@ -84,6 +85,7 @@ def sketches(df: DataFrame, k: int, prints: int, id_col: str = "doc_id", text_co
     names = ["doc_id", "h", "own", *(f"f{s}" for s in range(prints))]
 
     def run(batches):
+        take_over("simhash")
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)

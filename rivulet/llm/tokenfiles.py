@@ -25,7 +25,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, shared_dir, ship
+from .common import id_text, shared_dir, ship, take_over
 
 #: Most words that a worker remembers.
 CACHE = 1_200_000
@@ -77,6 +77,7 @@ _encoders: dict[tuple[int, str], Encoder] = {}
 
 
 def encoder(definition: str, dtype: str) -> Encoder:
+    take_over("token files", _encoders.clear)
     key = (hash(definition), dtype)
     if key not in _encoders:
         _encoders.clear()
