@@ -598,3 +598,27 @@ def test_bpe_rows(documents, edge_docs):
     decoded = bpe.decode(encoded, RANKS, public_tokenizers.PATTERN)
     assert multiset((r.doc_id, bytes(r.bytes).decode()) for r in decoded.collect()) == multiset(texts_of(edge_docs))
     assert bpe.encode(documents.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_markup_that_never_ends():
+    """Unclosed quotes, tags and declarations: what is no tag is text, and time stays linear in the text."""
+    import time
+
+    from rivulet.llm import pages
+
+    def shape(e):
+        return [k if isinstance(k, str) else (k.tag, shape(k)) for k in e.kids]
+
+    assert shape(pages.parse("<p>a <b 'x> c")) == [("p", ["a <b 'x> c"])]
+    assert shape(pages.parse("<p a='1\">x</p>' >y")) == [("p", ["y"])]
+    assert shape(pages.parse("a < b <!x")) == ["a < b <!x"]
+    assert shape(pages.parse("<script>a</script")) == [("script", [])]
+    assert shape(pages.parse("<title>a</title >b")) == [("title", ["a"]), "b"]
+    assert shape(pages.parse("a<!-- <p> -->b<!-- c")) == ["a", "b"]
+    for unit in ('<a href="x ', "<a 'b\" ", "<a ", "<a", "<!x ", "</script ", '<a "'):
+        began = time.process_time()
+        pages.parse(unit * 40_000)
+        assert time.process_time() - began < 5, unit
+    began = time.process_time()
+    pages.parse("<a " + "b" * 200_000 + ">")
+    assert time.process_time() - began < 5
