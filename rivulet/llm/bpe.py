@@ -88,7 +88,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def merge_rows(ranks: dict[bytes, int]) -> dict[str, list]:
+def merge_rows(ranks: dict[bytes, int]) -> dict[str, np.ndarray]:
     """``k`` (left id, right id) of each pair that a merge may contract, and ``rk``: twice the id of both, one more if unsafe.
 
     A pair is unsafe if a token of lower rank begins or ends with the contracted one: only then can a contraction give a new
@@ -106,20 +106,20 @@ def merge_rows(ranks: dict[bytes, int]) -> dict[str, list]:
             if left is not None and right is not None:
                 rows["k"].append((left << 32) + right)
                 rows["rk"].append(2 * rank + (opens.get(token, rank) < rank))
-    return rows
+    return {"k": np.array(rows["k"], np.int64), "rk": np.array(rows["rk"], np.int32)}
 
 
 class Codec:
     """Merge table, vocabulary and remembered pieces of one Python worker."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, history: int = HISTORY):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, history: int = HISTORY, merges: dict[str, np.ndarray] | None = None):
         import duckdb
         import regex
 
         self.ranks, self.find, self.history = ranks, regex.compile(pattern).findall, history
         # No folder for spills: what a query holds is bounded by ``history`` and by the blocks that it is asked for.
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
-        self._table("merges", {k: pa.array(v, pa.int64() if k == "k" else pa.int32()) for k, v in merge_rows(ranks).items()})
+        self._table("merges", {k: pa.array(v) for k, v in (merges or merge_rows(ranks)).items()})
         self._table("vocab", {"id": pa.array(list(ranks.values()), pa.int32()), "hex": [b.hex() for b in ranks]})
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self._forget()
@@ -261,15 +261,15 @@ def codec(shared, pattern: str) -> Codec:
     key = (shared.value["key"], pattern)
     if key not in _codecs:
         _release()
-        _codecs[key] = Codec(shared.value["ranks"], pattern)
+        _codecs[key] = Codec(shared.value["ranks"], pattern, merges=shared.value["merges"])
     return _codecs[key]
 
 
 def share(spark, path: str):
-    """The rank file's rows (a vocabulary, so of bounded size) as a broadcast."""
+    """The rank file's rows (a vocabulary, so of bounded size) and the merge table, made once, as a broadcast."""
     ship(spark)
     ranks = read_ranks(path)
-    return spark.sparkContext.broadcast({"ranks": ranks, "key": hashlib.sha256(repr(sorted(ranks.items())[:1000]).encode() + str(len(ranks)).encode()).hexdigest()})
+    return spark.sparkContext.broadcast({"ranks": ranks, "merges": merge_rows(ranks), "key": hashlib.sha256(repr(sorted(ranks.items())[:1000]).encode() + str(len(ranks)).encode()).hexdigest()})
 
 
 def blocks(texts: list[str], chars: int = 1_500_000) -> Iterator[tuple[int, int]]:
