@@ -14,7 +14,10 @@ links, not n squared. No choice of runs misses a link, whatever the size: the ch
 The stage ``keep_first`` takes the different five-word shingles of a text and four fingerprints, 256 bits. SimHash tells the
 angle between two texts' sets of shingles, so its similarity is their cosine, |A and B| / sqrt(|A| |B|); two texts link at
 ``similarity`` 0.8 or more. (A share of common shingles, Jaccard, of 0.8 is a cosine of 0.88 or more and links too.) The
-trie join proposes pairs whose 256 bits are near enough; every link is then confirmed on the shingles themselves.
+trie join proposes pairs whose 256 bits are near enough; every link is then confirmed on the shingles themselves. The bits
+that a pair must share to meet are the same for inputs of all sizes (``PAIRED``), so whether two texts meet depends on them
+alone, and a text is dealt the same number of times. Few of the choices go first: what they link, large groups of near-copies
+above all, is one group already when the others propose pairs.
 
 Null texts count as empty. Null ids are never a component's id unless a whole component has none, whose id is null.
 Repeated rows each get their row. An empty table gives an empty one. Other columns play no part.
@@ -117,8 +120,8 @@ def popcount(x: np.ndarray) -> np.ndarray:
 class Links:
     """Which of n leaves are linked: a forest, and labels that are brought up to date in bulk."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
+    def __init__(self, n: int, label: np.ndarray | None = None):
+        self.label = np.arange(n) if label is None else label
         self.kept: list[tuple[np.ndarray, np.ndarray]] = []
         self._renumber()
 
@@ -153,14 +156,15 @@ class Links:
         return (c[hi_a - 1] == c[lo_a]) & (c[hi_b - 1] == c[lo_b]) & (self.label[lo_a] == self.label[lo_b])
 
 
-def trie_links(key: np.ndarray, bits: np.ndarray, budget: int, distance=None, steps: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(key: np.ndarray, bits: np.ndarray, budget: int, distance=None, steps: tuple[int, ...] = (), label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A forest of links among leaves that agree on ``key`` and differ in ``budget`` or fewer of ``bits``.
 
     Rows are sorted by (key, bits). A node is a range of rows that agree on the key and the first bits. With
     ``distance(i, j)``, pairs of rows further apart than the last of ``steps`` don't link, and nearer pairs, by steps, link first.
+    Rows of one ``label`` (numbers of rows) are linked from the start.
     """
     n = len(key)
-    links = Links(n)
+    links = Links(n, label)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -242,13 +246,27 @@ def choices(budget: int, rows: int, together: int = 11) -> list[tuple[tuple[int,
     """
     need = max(6, int(rows).bit_length() - together)
     for spare in range(1, 5):
-        edges = [round(64 * k / (budget + spare)) for k in range(budget + spare + 1)]
-        runs = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
         if 64 * spare / (budget + spare) >= need or spare == 4:
-            return list(combinations(runs, spare))
+            return runs(budget, spare)
     raise AssertionError
 
 
+def runs(budget: int, spare: int) -> list[tuple[tuple[int, int], ...]]:
+    """Choices of ``spare`` of ``budget + spare`` runs of bits."""
+    edges = [round(64 * k / (budget + spare)) for k in range(budget + spare + 1)]
+    return list(combinations([(a, b - a) for a, b in zip(edges, edges[1:], strict=False)], spare))
+
+
+def _first(key: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """For each row the number of the first row of the same key and root."""
+    order = np.lexsort((root, key))  # stable, so a group's least row comes first
+    k, r = key[order], root[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])])
+    out = np.empty(len(key), np.int64)
+    out[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
+
+
 def _bring_up(fp: np.ndarray, chosen: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
     """The chosen bits as a number, and the fingerprint without them (zeros in their place)."""
     key, mask = np.zeros(len(fp), np.uint64), 0
@@ -264,10 +282,11 @@ def links(prints: DataFrame, plans: list[tuple[tuple[int, int], ...]], budget: i
 
     ``prints`` has ``class, f0, f1, ...``, a row for each class. Classes are dealt by each of the ``plans`` of fingerprint
     ``own`` and link if that differs in ``budget`` or fewer bits; with ``steps``, only if all fingerprints together differ in
-    no more bits than its last (``d`` of them).
+    no more bits than its last (``d`` of them). Classes of one ``root``, if there is such a column, are linked already.
     """
-    prints = prints.select("class", *sorted((c for c in prints.columns if c[0] == "f" and c[1:].isdigit()), key=lambda c: int(c[1:])))
-    names, seeds = prints.columns, len(prints.columns) - 1
+    rooted = ["root"] * ("root" in prints.columns)
+    prints = prints.select("class", *sorted((c for c in prints.columns if c[0] == "f" and c[1:].isdigit()), key=lambda c: int(c[1:])), *rooted)
+    names, seeds = prints.columns, len(prints.columns) - 1 - len(rooted)
     schema = "a long, b long" + ", d int" * bool(steps)
 
     def deal(batches):
@@ -285,6 +304,7 @@ def links(prints: DataFrame, plans: list[tuple[tuple[int, int], ...]], budget: i
         c, key = got.column(0).to_numpy(), got.column(1).to_numpy().view(np.uint64)
         named = got.column(2).to_numpy()
         prints = np.stack([got.column(3 + s).to_numpy().view(np.uint64) for s in range(seeds)])
+        root = got.column(3 + seeds).to_numpy() if rooted else None
         del got, batches
         for one in np.unique(c):
             at = np.flatnonzero(c == one)
@@ -292,7 +312,7 @@ def links(prints: DataFrame, plans: list[tuple[tuple[int, int], ...]], budget: i
             order = np.lexsort((rest, key[at]))
             at, rest = at[order], rest[order]
             distance = lambda i, j, f=prints[:, at]: popcount(f[:, i] ^ f[:, j]).sum(0, dtype=np.int32)
-            i, j = trie_links(key[at], rest, budget, distance if steps else None, steps)
+            i, j = trie_links(key[at], rest, budget, distance if steps else None, steps, _first(key[at], root[at]) if rooted else None)
             if len(i):
                 ends = [pa.array(named[at[i]]), pa.array(named[at[j]])]
                 yield pa.RecordBatch.from_arrays([*ends, pa.array(distance(i, j))] if steps else ends, ["a", "b", "d"][: 2 + bool(steps)])
@@ -338,12 +358,12 @@ def groups(df: DataFrame, k: int, budget: int, id_col: str = "doc_id", text_col:
 
 
 #: Fingerprints of a sketch; bits in which one may differ; errors that a choice of runs is sure to bear (beyond them a pair
-#: is found where its errors leave runs free, in one of ``PRINTS`` times 36 choices or more).
-PRINTS, REACH, SURE = 4, 16, 7
+#: is found where its errors leave runs free); runs of 7 or 8 bits that must agree, so ``PRINTS`` times 36 choices.
+PRINTS, REACH, SURE, PAIRED = 4, 16, 7, 2
+#: The choices of the first fingerprint that go first: runs 0 and 1, 2 and 3, and so on.
+EARLY = [a + b for a, b in zip(runs(SURE + PAIRED - 1, 1)[::2], runs(SURE + PAIRED - 1, 1)[1::2], strict=False)]
 #: Of all bits those in which linked texts may differ: at a cosine of 0.8 0.205 are expected, with a deviation of 0.025.
 APART = 0.27
-#: Turns in which each component asks for its nearest link only; after them all links that are left are asked for.
-TURNS = 3
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
@@ -397,42 +417,27 @@ def similar(df: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "d
     first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "h")).alias("first")
     # Numbers are read back from storage, so they hold.
     classes = cut(prints.groupBy("own", *names).agg(first).withColumn("class", F.monotonically_increasing_id()), "classes")
-    plans = choices(SURE, classes.count(), 9)
+    plans = runs(SURE, PAIRED)
     most = int(APART * 64 * PRINTS)
     steps = tuple(most * s // 8 for s in range(2, 9))
-    parts = [cut(links(classes, plans, REACH, s, steps), "links") for s in range(PRINTS)]
-    near = reduce(DataFrame.union, parts).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
-    near = cut(near.groupBy("a", "b").agg(F.min("d").alias("d")), "near")
     own = classes.select("class", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"))
-    ends = near.select(F.col("a").alias("class")).union(near.select(F.col("b").alias("class"))).distinct()
-    sets = cut(_sets(df, own.join(ends, "class", "left_semi"), k, id_col, text_col), "sets")
-    links_, label = _confirmed_links(near, sets, similarity)
-    return own.join(label, own["class"] == label.fp, "left").select(F.coalesce("root", "class").alias("root"), "class", "doc_id", "h")
-
 
-def _confirmed_links(near: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links that have the components of all confirmed ones among ``near`` (a, b, d), and those components.
-
-    Texts are compared where that can still join two components: for some turns each component's nearest link, then the rest.
-    """
-    rest, links_ = near.withColumns({"la": F.col("a"), "lb": F.col("b")}), None
-    for turn in range(TURNS + 1):
-        asked = rest.select("a", "b")
-        if turn < TURNS:
-            both = rest.select(F.explode(F.array("la", "lb")).alias("l"), F.struct("d", "a", "b").alias("x"))
-            asked = cut(both.groupBy("l").agg(F.min("x").alias("x")).select("x.a", "x.b").distinct(), "asked")
-        found = cut(_confirmed(asked, sets, similarity), "confirmed")
-        links_ = found if links_ is None else links_.union(found)
-        label = cut(components(links_), "label")
-        if turn == TURNS:
-            break
-        left = rest.select("a", "b", "d").join(asked, ["a", "b"], "left_anti")
-        for end, name in (("a", "la"), ("b", "lb")):
-            left = left.join(label.select(F.col("fp").alias(end), F.col("root").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
-        rest = cut(left.where("la <> lb").select("a", "b", "d", "la", "lb"), "rest")
-        if rest.isEmpty():
-            break
-    return links_, label
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return cut(_sets(df, own.join(wanted, "class", "left_semi"), k, id_col, text_col), "sets")
+
+    early = cut(links(classes, EARLY, REACH, 0, steps), "early")
+    sets = sets_of(ends(early))
+    sure = cut(_confirmed(early, sets, similarity), "confirmed")
+    label = cut(components(sure), "label")
+    rooted = cut(classes.join(label, classes["class"] == label.fp, "left").select("class", *names, F.coalesce("root", "class").alias("root")), "rooted")
+    parts = [cut(links(rooted, plans, REACH, s, steps), "links") for s in range(PRINTS)]
+    near = cut(reduce(DataFrame.union, parts).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+    sets = sets.union(sets_of(ends(near).join(sets.select("class"), "class", "left_anti")))
+    label = components(sure.union(_confirmed(near, sets, similarity)))
+    return own.join(label, own["class"] == label.fp, "left").select(F.coalesce("root", "class").alias("root"), "class", "doc_id", "h")
 
 
 def keep_first(df: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -117,3 +117,39 @@ def test_near_duplicates_with_odd_columns(spark):
     got = simhash.keep_first(df)
     assert got.columns == df.columns
     assert sorted((x.doc_id, (x.TEXT or "")[-4:]) for x in got.collect()) == [(1, "more"), (5, "")]
+
+
+def test_texts_meet_alike_in_inputs_of_all_sizes(spark, monkeypatch):
+    """Each text is dealt by the same choices of bits, however many others there are."""
+    from pyspark.sql import functions as F
+
+    from rivulet.llm import simhash
+
+    dealt = []
+    monkeypatch.setattr(simhash, "links", lambda prints, plans, *_: dealt.append(tuple(plans)) or spark.createDataFrame([], "a long, b long, d int"))
+    for n in (10, 140_000):
+        text = F.concat_ws(" ", *(F.xxhash64(F.col("id"), F.lit(k)) for k in range(5)))
+        simhash.similar(spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))).count()
+    assert len(dealt) > 1 and dealt[: len(dealt) // 2] == dealt[len(dealt) // 2 :]
+
+
+def test_large_group_of_near_copies_proposes_few_pairs(spark, monkeypatch):
+    """What is one group after the first choices proposes no pair to the others."""
+    import random
+
+    from rivulet.llm import common, simhash
+
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(200)] + [" ".join([*base[:k], f"y{k}", *base[k + 1 :]]) for k in range(200)]
+    written = {}
+
+    def cut(df, name="cut"):
+        out = common.cut(df, name)
+        written.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "cut", cut)
+    got = simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert len({x.root for x in got.collect()}) == 1
+    assert sum(written["near"]) <= len(texts)
