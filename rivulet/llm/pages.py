@@ -2,7 +2,7 @@ r"""Main text of web pages by wrappers that are inferred for each host.
 
 A page's token stream (tags, texts) is read into nested elements, tolerantly: comments, scripts and styles are skipped,
 paragraphs, list items and the like end where the next one begins, stray end tags are ignored. A wrapper is a union-free
-regular expression over such streams. It starts as a host's first sample page and is aligned with the others one by one:
+regular expression over such streams. It starts as one of a host's pages and is aligned with all others:
 where elements agree they are one; where one side has more of the same, alone or as a group in turn, they become a
 repeated group; what only one side has becomes optional; texts that differ become slots.
 
@@ -10,8 +10,10 @@ From the wrapper follow the elements that hold the articles (markup is a hint to
 text on most pages. A page's text is that of the elements in the wrapper's places, less what the wrapper finds boring and less menus, forms, adverts, notices, sidebars, comments and the like. Blocks are trimmed, white space in them is one
 space, and they are joined by one space in page order.
 
-Pages of a host are grouped by ``template``, over all pages, and a wrapper is fitted for each template on its ``SAMPLE`` pages
-of least hash; every page is extracted from its whole html. Each task picks its own candidates first, and these are cut down in two steps, so a host with very many pages is never gathered. Null and empty html give an empty
+Pages of a host are grouped by ``template``, and a wrapper is fitted for each template on all its pages, copies aside; every
+page is extracted from its whole html. Pages of one shape (the same expression but for texts and counts) are added up, in any
+order and in each task already; what is aligned, in order of a hash, are the different shapes: first in ``SALT`` groups of a template's, then those
+groups, so one task holds a wrapper or two and never a host's pages. Null and empty html give an empty
 text, null urls a host of their own. Repeated rows give repeated rows. An empty table gives an empty one. Other columns
 play no part.
 """
@@ -19,7 +21,6 @@ play no part.
 from __future__ import annotations
 
 import functools
-import heapq
 import html as entities
 import json
 import re
@@ -32,10 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, ship
 
-#: Pages of a template that its wrapper is fitted on, and the greatest size of all wrappers that is broadcast.
-SAMPLE = 8
+#: The greatest size of all wrappers that is broadcast; groups in which a template's shapes are aligned; shapes that a task adds
+#: up before it hands them on.
 BROADCAST_BYTES = 64 << 20
 SALT = 64
+SHAPES = 5_000
 #: Elements nested deeper stand beside each other, as in browsers.
 DEPTH = 400
 
@@ -191,7 +193,7 @@ def expression(e: Element, linked: bool = False) -> list:
     for x in e.kids:
         if isinstance(x, str):
             if words := " ".join(x.split()):
-                kids.append(["#", 1, False, False, len(words), len(words) * linked, words, []])
+                kids.append(["#", 1, False, False, len(words), len(words) * linked, _told(words), []])
         elif x.tag not in ("script", "style"):
             kids.append(expression(x, linked or x.tag == "a"))
     for k in kids:
@@ -200,6 +202,23 @@ def expression(e: Element, linked: bool = False) -> list:
     return [e.sign, 1, False, False, chars, in_links, None, repeats(kids)]
 
 
+def _told(words: str) -> str:
+    """A text as wrappers hold it: long ones by their beginning and a hash."""
+    return words if len(words) <= 64 else f"{words[:40]}#{xxhash.xxh64_hexdigest(words)}"
+
+
+def shape(node: list) -> str:
+    """All of an expression but texts and counts."""
+    return f"{node[SIGN]}{'?' * node[OPTIONAL]}{'+' * node[REPEATED]}<{' '.join(map(shape, node[KIDS]))}>"
+
+
+def _added(a: list, b: list) -> list:
+    """Two expressions of one shape as one; the order of such sums does not matter."""
+    text = a[TEXT] if a[TEXT] == b[TEXT] else None
+    kids = [_added(x, y) for x, y in zip(a[KIDS], b[KIDS], strict=True)]
+    return [a[SIGN], a[PAGES] + b[PAGES], a[OPTIONAL], a[REPEATED], a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], text, kids]
+
+
 def _merge(a: list, b: list, pages: int) -> list:
     """One node for two of the same signature."""
     text = a[TEXT] if a[TEXT] == b[TEXT] else None
@@ -249,9 +268,23 @@ def aligned(a: list[list], b: list[list]) -> list[list]:
 def infer(pages: list[str]) -> dict:
     """The wrapper of some pages: the expression as text, the articles' place, and places of links and standing text."""
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 12 * DEPTH))  # a few calls for each level
-    tops = [parse(p) for p in pages]
-    hints = {path for top in tops for path, _ in _marked(top)}
-    whole = functools.reduce(lambda a, b: _merge(a, b, a[PAGES] + b[PAGES]), map(expression, tops))
+    return model(*functools.reduce(together, (part(parse(p)) for p in pages)))
+
+
+def part(page: Element) -> tuple[list, set[str]]:
+    """What one page adds to a wrapper: its expression and the places that are marked up as articles."""
+    return expression(page), {path for path, _ in _marked(page)}
+
+
+def together(a: tuple[list, set[str]], b: tuple[list, set[str]], alike: bool = False) -> tuple[list, set[str]]:
+    """What two parts add, whose expressions are of one shape if ``alike``."""
+    whole = _added(a[0], b[0]) if alike else _merge(a[0], b[0], a[0][PAGES] + b[0][PAGES])
+    return whole, a[1] | b[1]
+
+
+def model(whole: list, hints: set[str]) -> dict:
+    """The wrapper, told from the expression of all pages and the places of their articles."""
+    pages = whole[PAGES]
     paths: dict[str, list] = {}
 
     def walk(node: list, path: str) -> None:
@@ -263,12 +296,12 @@ def infer(pages: list[str]) -> dict:
                 old = paths.setdefault(here, [0, 0, True])
                 old[0] += k[CHARS]
                 old[1] += k[LINKED]
-                old[2] &= _standing(k) and 2 * k[PAGES] > len(pages)
+                old[2] &= _standing(k) and 2 * k[PAGES] > pages
                 walk(k, here)
 
     walk(whole, "")
     link = [p for p, (chars, linked, _) in paths.items() if chars and linked > 0.6 * chars and not p_like(p)]
-    standing = [p for p, (chars, _, same) in paths.items() if chars and same and len(pages) > 2 and not p_like(p)]
+    standing = [p for p, (chars, _, same) in paths.items() if chars and same and pages > 2 and not p_like(p)]
     boring = set(link) | set(standing)
     root, best = "", sum(c - n for p, (c, n, _) in paths.items() if p.count("/") == 1)
     while best:
@@ -351,11 +384,10 @@ def _articles(e: Element, path: str) -> list[tuple[str, Element]]:
     return out
 
 
-def template(text: str) -> int:
+def template(page: Element) -> int:
     """A hash of the page's structure: the different paths of its elements outside of running text."""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 12 * DEPTH))
     paths: set[str] = set()
-    todo = [("", parse(text))]
+    todo = [("", page)]
     while todo:
         path, e = todo.pop()
         for k in e.kids:
@@ -400,44 +432,76 @@ def _host(url_col: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-#: The template of a host's wrapper over pages of all its templates.
-ANY = -1
+_PARTS = "host string, template long, salt long, shape long, part string"
+
+
+def _packed(keys: list[tuple], parts: list[tuple[list, set[str]]]) -> pa.RecordBatch:
+    columns = [list(x) for x in zip(*keys, strict=True)] or [[], [], [], []]
+    written = [json.dumps([whole, sorted(hints)]) for whole, hints in parts]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), pa.array(written, pa.string())], ["host", "template", "salt", "shape", "part"])
+
+
+def _aligned_by(rows: DataFrame, n: int) -> DataFrame:
+    """One part for all those that agree on the first ``n`` of ``host, template, salt, shape``, in the order of the other columns.
+
+    Rows of one shape are added up first; they must not be told apart by their order.
+    """
+    names = ["host", "template", "salt", "shape"]
+
+    def run(batches):
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 12 * DEPTH))
+        key = whole = last = alike = None
+        for b in batches:
+            for *at, text in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                got = json.loads(text)
+                got = got[0], set(got[1])
+                if at == last:
+                    alike = together(alike, got, True)
+                    continue
+                if last is not None:
+                    whole = together(whole, alike) if whole else alike
+                if at[:n] != key:
+                    if whole:
+                        yield _packed([(*key, *[0] * (4 - n))], [whole])
+                    key, whole = at[:n], None
+                last, alike = at, got
+        if last is not None:
+            yield _packed([(*key, *[0] * (4 - n))], [together(whole, alike) if whole else alike])
+
+    return rows.repartition(*names[:n]).sortWithinPartitions(*names).mapInArrow(run, _PARTS)
 
 
 def wrappers(rows: DataFrame) -> DataFrame:
-    """``host, template, wrapper`` (JSON) for every template of every host, from its ``SAMPLE`` pages of least hash.
+    """``host, template, wrapper`` (JSON) for every template of every host, from all its different pages.
 
-    What stands on all pages of a host's sample, whatever their templates, is boring in each of them too: of a rare
-    template there may be too few pages to tell.
+    What stands on all pages of a host, whatever their templates, is boring in each of them too: of a rare template there may
+    be too few pages to tell.
     """
 
-    def pick(batches):
-        least: dict[tuple[str, int], list] = {}
+    def add_up(batches):
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 12 * DEPTH))
+        held: dict[tuple, tuple] = {}
+        for b in batches:
+            for host, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                page = parse(text)
+                got = part(page)
+                look = xxhash.xxh64_intdigest(shape(got[0])) - (1 << 63)
+                key = host, template(page), look % SALT, look
+                held[key] = together(held[key], got, True) if key in held else got
+                if len(held) >= SHAPES:
+                    yield _packed(list(held), list(held.values()))
+                    held.clear()
+        yield _packed(list(held), list(held.values()))
+
+    def fit(batches):
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 12 * DEPTH))
         for b in batches:
-            for host, text, own in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                item = (-xxhash.xxh64_intdigest(text), text)
-                for key in ((host, own), (host, ANY)):
-                    heap = least.setdefault(key, [])
-                    if item in heap:  # copies of a page tell nothing new
-                        continue
-                    if len(heap) < SAMPLE:
-                        heapq.heappush(heap, item)
-                    elif item > heap[0]:
-                        heapq.heapreplace(heap, item)
-        for (host, own), heap in least.items():
-            n = len(heap)
-            yield pa.RecordBatch.from_arrays([pa.array([host] * n), pa.array([own] * n, pa.int64()), pa.array([-h - (1 << 63) for h, _ in heap], pa.int64()), pa.array([t for _, t in heap])], ["host", "template", "rank", "html"])
-
-    def least_of(table: pa.Table) -> list[tuple[int, str]]:
-        return sorted(set(zip(table.column("rank").to_pylist(), table.column("html").to_pylist(), strict=True)))[:SAMPLE]
-
-    def fewer(table: pa.Table) -> pa.Table:
-        rank, html = zip(*least_of(table), strict=True)
-        return pa.table({"host": table.column("host")[: len(rank)], "template": table.column("template")[: len(rank)], "rank": pa.array(rank, pa.int64()), "html": html})
-
-    def fit(table: pa.Table) -> pa.Table:
-        order = least_of(table)
-        return pa.table({"host": table.column("host")[:1], "template": table.column("template")[:1], "wrapper": [json.dumps(infer([t for _, t in order]))]})
+            fitted = []
+            for text in b.column(4).to_pylist():
+                whole, hints = json.loads(text)
+                fitted.append(json.dumps(model(whole, set(hints))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fitted, pa.string())], ["host", "template", "wrapper"])
 
     def both(batches):
         for b in batches:
@@ -449,12 +513,12 @@ def wrappers(rows: DataFrame) -> DataFrame:
                 out.append(json.dumps(own))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["host", "template", "wrapper"])
 
-    picked = rows.select("host", "html", "template").where("html <> ''").mapInArrow(pick, "host string, template long, rank long, html string")
-    # Each task has picked SAMPLE pages of a template; SALT groups of those are cut down again before a template's meet.
-    picked = picked.withColumn("salt", F.pmod("rank", F.lit(SALT))).groupBy("host", "template", "salt").applyInArrow(fewer, "host string, template long, rank long, html string")
-    fitted = cut(picked.groupBy("host", "template").applyInArrow(fit, "host string, template long, wrapper string"), "fitted")
-    whole = fitted.where(F.col("template") == ANY).select("host", F.col("wrapper").alias("whole"))
-    return fitted.where(F.col("template") != ANY).join(whole, "host").select("host", "template", "wrapper", "whole").mapInArrow(both, "host string, template long, wrapper string")
+    # Copies of a page tell nothing new.
+    parts = rows.select("host", "html").where("html <> ''").distinct().mapInArrow(add_up, _PARTS)
+    parts = cut(_aligned_by(_aligned_by(parts, 3), 2), "parts")
+    ddl = "host string, template long, wrapper string"
+    whole = _aligned_by(parts, 1).mapInArrow(fit, ddl).select("host", F.col("wrapper").alias("whole"))
+    return parts.mapInArrow(fit, ddl).join(whole, "host").select("host", "template", "wrapper", "whole").mapInArrow(both, ddl)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -464,7 +528,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
 
     def sign(batches):
         for b in batches:
-            yield b.append_column("template", pa.array([template(x) for x in b.column(2).to_pylist()], pa.int64()))
+            yield b.append_column("template", pa.array([template(parse(x)) for x in b.column(2).to_pylist()], pa.int64()))
 
     rows = rows.mapInArrow(sign, "page_id long, url string, html string, host string, template long")
     fitted = cut(wrappers(rows), "wrappers")

@@ -622,3 +622,18 @@ def test_markup_that_never_ends():
     began = time.process_time()
     pages.parse("<a " + "b" * 200_000 + ">")
     assert time.process_time() - began < 5
+
+
+def test_wrappers_come_from_all_pages(spark):
+    """What stands on the pages of least hash only is no standing text; the order of pages plays no part."""
+    import xxhash
+
+    page = lambda k, note: f"<body><article><h1>t{k}</h1><div class=x>{note}</div><p>text {k}</p></article></body>"
+    low = [h for k in range(400) if xxhash.xxh64_intdigest(h := page(k, "the same note")) < 1 << 61][:12]
+    high = [h for k in range(400, 800) if xxhash.xxh64_intdigest(h := page(k, f"note {k}")) > 1 << 63][:40]
+    assert len(low) == 12 and len(high) == 40
+    df = spark.createDataFrame([(k, "http://h/x", h) for k, h in enumerate(low + high)], "page_id long, url string, html string")
+    assert all("note" in r.text for r in pages.extract(df).collect())
+    rows = spark.read.parquet(f"{SF}/pages.parquet").selectExpr("substr(url, 1, 12) AS host", "html")
+    one, many = (sorted(tuple(r) for r in pages.wrappers(rows.orderBy(o).coalesce(n)).collect()) for o, n in (("html", 1), ("host", 5)))
+    assert one == many and one
