@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import id_text, shared_dir, ship, take_over
 
-#: Most words that a worker remembers.
+#: Most words that a worker remembers, about: in two halves, the words of late and those seen before; what was not seen again
+#: while a half filled up is forgotten.
 CACHE = 1_200_000
 #: Rows in a record batch of a shard.
 BATCH_ROWS = 64
@@ -49,28 +50,56 @@ class Encoder:
         self.whole = re.compile("|".join([r" \s", *map(re.escape, filter(None, added))])).search
         self.dtype = dtype
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        #: Of each id whether its token begins with a space.
+        self.begins = np.zeros(max(self.tok.get_vocab().values(), default=-1) + 1, bool)
+        self.begins[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it. They are encoded as one text, which a space cuts just as any other."""
+        text = "".join([" " + p for p in words])
+        if words and not self.whole(text):
+            ids = np.array(self._ids([text])[0], self.dtype)
+            edges = np.flatnonzero(self.begins[ids])
+            if len(edges) == len(words) and edges[0] == 0:
+                raw, width = ids.tobytes(), ids.itemsize
+                edges = (edges * width).tolist()
+                return [raw[a:b] for a, b in zip(edges, [*edges[1:], len(raw)], strict=True)]
+        return self._encode([" " + p for p in words])
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(ids, self.dtype).tobytes() for ids in self._ids(texts)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers."""
-        if len(self.words) > CACHE:
-            self.words = {}
-        heads, rows, fresh = [], [], set()
+        if len(self.words) > CACHE // 2:
+            self.before, self.words = self.words, {}
+        heads, rows, gaps, fresh, known = [], [], [], set(), self.words.get
         for x in texts:
             head, *tail = [x] if self.whole(x) or x.endswith(" ") else x.split(" ")
-            ids = list(map(self.words.get, tail))
+            ids = list(map(known, tail))
             if None in ids:
-                fresh.update(p for p, i in zip(tail, ids, strict=True) if i is None)
-                ids = tail
+                at = [k for k, i in enumerate(ids) if i is None]
+                words = [tail[k] for k in at]
+                fresh.update(words)
+                gaps.append((ids, at, words))
             heads.append(head)
             rows.append(ids)
-        new = list(fresh)
-        self.words.update(zip(new, self._encode([" " + p for p in new]), strict=True))
+        self._learn(fresh)
+        for ids, at, words in gaps:
+            for k, p in zip(at, words, strict=True):
+                ids[k] = self.words[p]
         first = self._encode(heads)
-        word = self.words.__getitem__
-        return [b"".join([h, *(map(word, ids) if ids and isinstance(ids[0], str) else ids)]) for h, ids in zip(first, rows, strict=True)]
+        return [b"".join([h, *ids]) for h, ids in zip(first, rows, strict=True)]
+
+    def _learn(self, words: set[str]) -> None:
+        seen = words & self.before.keys()
+        self.words.update((p, self.before[p]) for p in seen)
+        new = list(words - seen)
+        self.words.update(zip(new, self._encode_words(new), strict=True))
 
 
 _encoders: dict[tuple[int, str], Encoder] = {}

@@ -637,3 +637,28 @@ def test_wrappers_come_from_all_pages(spark):
     rows = spark.read.parquet(f"{SF}/pages.parquet").selectExpr("substr(url, 1, 12) AS host", "html")
     one, many = (sorted(tuple(r) for r in pages.wrappers(rows.orderBy(o).coalesce(n)).collect()) for o, n in (("html", 1), ("host", 5)))
     assert one == many and one
+
+
+def test_token_files_remember_words_in_use(monkeypatch):
+    """Words that come again are not encoded again when the memory is full, and new words go to the library as one text."""
+    asked = []
+
+    class Spy:
+        def __init__(self, tok):
+            self.tok = tok
+
+        def __getattr__(self, name):
+            return getattr(self.tok, name)
+
+        def encode_batch_fast(self, texts, **flags):
+            asked.append(list(texts))
+            return self.tok.encode_batch_fast(texts, **flags)
+
+    monkeypatch.setattr(tokenfiles, "CACHE", 20)
+    e = tokenfiles.Encoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read(), "<u2")
+    library, e.tok = e.tok, Spy(e.tok)
+    batches = [[f"a common word{k}{j}!!\nĠ{k} thing x" for j in range(4)] + ["two  spaces", "", " ", "b <|endoftext|> c", "end "] for k in range(30)]
+    for texts in batches:
+        assert e.encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert sum(f"{t} ".count(" common ") for texts in asked for t in texts) == 1
+    assert all(len(texts) == 1 for texts in asked if any("word" in t for t in texts))
