@@ -5,7 +5,7 @@ table, and a recursive query contracts the leftmost pair of least rank in every
 id-position rows with the vocabulary and aggregates the bytes in order; documents are put together from their pieces by
 ordered aggregation too. Pieces of all lengths go the same way.
 
-A worker remembers the pieces it has seen (about ``CACHE`` of them; then it forgets the rare ones), so that the recursive query runs
+A worker remembers the pieces it has seen (about ``CACHE`` of them, ``CACHE_ALONE`` in a round trip; then it forgets the rare ones), so that the recursive query runs
 only over new pieces. Null texts count as empty: no ids, no bytes. Null ids give an empty byte string. Repeated rows give
 repeated results; an empty table gives an empty one; other columns are not looked at.
 """
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 
 from .common import id_text, ship, take_over
 
-#: Most different pieces that a worker remembers.
-CACHE = 300_000
+#: Most different pieces that a worker remembers: beside a pipeline's other stages, and where nothing else needs its memory.
+CACHE, CACHE_ALONE = 300_000, 700_000
 #: Rows of all rounds that one recursive query may leave behind, about; what is not done then goes on in another one.
 HISTORY = 3_000_000
 #: Bytes of pieces in one recursive query, about; a longer piece is taken whole.
@@ -112,11 +112,12 @@ def merge_rows(ranks: dict[bytes, int]) -> dict[str, np.ndarray]:
 class Codec:
     """Merge table, vocabulary and remembered pieces of one Python worker."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, history: int = HISTORY, merges: dict[str, np.ndarray] | None = None):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, history: int = HISTORY, merges: dict[str, np.ndarray] | None = None, cache: int | None = None):
         import duckdb
         import regex
 
         self.ranks, self.find, self.history = ranks, regex.compile(pattern).findall, history
+        self.cache = cache
         # No folder for spills: what a query holds is bounded by ``history`` and by the blocks that it is asked for.
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
         self._table("merges", {k: pa.array(v) for k, v in (merges or merge_rows(ranks)).items()})
@@ -142,10 +143,10 @@ class Codec:
         self.db.execute("CREATE OR REPLACE TEMP TABLE units (code INT, ids INT[], bytes VARCHAR)")
 
     def _forget_rare(self) -> None:
-        """Keeps the pieces that came up more than once, the most used ones if those are too many: half of ``CACHE``."""
+        """Keeps the pieces that came up more than once, the most used ones if those are too many: half of ``cache``."""
         keep = np.flatnonzero(self.uses > 1)
-        if len(keep) > CACHE // 2:
-            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: CACHE // 2]])
+        if len(keep) > (most := (self.cache or CACHE) // 2):
+            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[:most]])
         names, written = list(self.codes), self.written
         self.codes = {names[k]: i for i, k in enumerate(keep.tolist())}
         self.written = [written[k] for k in keep.tolist()]
@@ -204,7 +205,7 @@ class Codec:
 
     def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The codes of all pieces of the texts, one text after another, and how many each text has."""
-        if len(self.codes) > CACHE:
+        if len(self.codes) > (self.cache or CACHE):
             self._forget_rare()
         pieces: list[str] = []
         ends = []
@@ -246,7 +247,7 @@ class Codec:
         return out
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
+_codecs: dict[tuple, Codec] = {}
 
 
 def _release() -> None:
@@ -255,13 +256,13 @@ def _release() -> None:
     _codecs.clear()
 
 
-def codec(shared, pattern: str) -> Codec:
+def codec(shared, pattern: str, cache: int | None = None) -> Codec:
     """The worker's own codec for these broadcast ranks."""
     take_over("bpe", _release)
-    key = (shared.value["key"], pattern)
+    key = (shared.value["key"], pattern, cache)
     if key not in _codecs:
         _release()
-        _codecs[key] = Codec(shared.value["ranks"], pattern, merges=shared.value["merges"])
+        _codecs[key] = Codec(shared.value["ranks"], pattern, merges=shared.value["merges"], cache=cache)
     return _codecs[key]
 
 
@@ -291,13 +292,13 @@ DECODED_SHA256 = "sha256(string_agg(u.bytes, '' ORDER BY d.i))"
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def _run(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, columns: dict[str, str], types: dict[str, pa.DataType], ddl: str) -> DataFrame:
+def _run(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, columns: dict[str, str], types: dict[str, pa.DataType], ddl: str, cache: int | None = None) -> DataFrame:
     """``doc_id`` and columns of ``types``: those of ``columns``, and ``ids_sha256``."""
     shared = share(df.sparkSession, path)
     schema = pa.schema([("doc_id", pa.int64()), *types.items()])
 
     def run(batches):
-        c = codec(shared, pattern)
+        c = codec(shared, pattern, cache)
         for b, start in ((b, k) for b in batches for k in range(0, b.num_rows, ROWS)):
             docs, texts = b.column(0).slice(start, ROWS), b.column(1).slice(start, ROWS).to_pylist()
             for i, j in blocks(texts):
@@ -350,4 +351,4 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     """Encode every text, decode the ids; ``doc_id, n_tokens, ids_sha256, decoded_sha256`` in one pass."""
     columns = {"n_tokens": N_TOKENS, "decoded_sha256": DECODED_SHA256}
     types = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
-    return _run(df, path, pattern, id_col, text_col, columns, types, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _run(df, path, pattern, id_col, text_col, columns, types, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", CACHE_ALONE)

@@ -662,3 +662,16 @@ def test_token_files_remember_words_in_use(monkeypatch):
         assert e.encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
     assert sum(f"{t} ".count(" common ") for texts in asked for t in texts) == 1
     assert all(len(texts) == 1 for texts in asked if any("word" in t for t in texts))
+
+
+def test_bpe_memory_by_codec():
+    """A codec with a greater memory learns pieces once that a smaller one learns again."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    learnt = {}
+    for cache in (20, 200):
+        c = bpe.Codec(ranks, public_tokenizers.PATTERN, cache=cache)
+        learn, seen = c._learn, learnt.setdefault(cache, [])
+        c._learn = lambda pieces, learn=learn, seen=seen: (seen.extend(pieces), learn(pieces))
+        got = [c.digests(*c.coded([" ".join(f"piece{chr(97 + k)}{j}" for j in range(5)) for k in range(a, a + 5)])) for a in (0, 5, 10, 0)]
+        assert got[0] == got[3]
+    assert len(learnt[200]) == len(set(learnt[200])) < len(learnt[20])
