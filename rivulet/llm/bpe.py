@@ -25,29 +25,30 @@ from pyspark.sql import DataFrame
 from .common import id_text, ship, take_over
 
 #: Most different pieces that a worker remembers: beside a pipeline's other stages, and where nothing else needs its memory.
-CACHE, CACHE_ALONE = 300_000, 700_000
-#: Rows of all rounds that one recursive query may leave behind, about; what is not done then goes on in another one.
-HISTORY = 3_000_000
-#: Bytes of pieces in one recursive query, about; a longer piece is taken whole.
+CACHE, CACHE_ALONE = 300_000, 1_000_000
+#: Bytes of pieces in one recursive query, about; a longer piece is taken whole. The query holds the rows of one round, as
+#: pieces without a pair leave it at once.
 BLOCK = 250_000
+#: So often the same pair must stand in a piece for all its places to be looked for in a round.
+OFTEN = 4
 #: Rows whose texts are Python strings at a time.
 ROWS = 1_000
 
 #: ``state`` has a row for each token of each piece: where it stands, where the next one stands, its id and the next one's (-1
 #: at the end), ``rk``: twice the rank of the pair of both, one more if the pair is unsafe, null if there is none, and
-#: ``twice``: whether some pair may stand in the piece more than once.
-#: A round finds each piece's leftmost pair of least rank and contracts it, and with it, where the pair is safe, its other
-#: occurrences; in a run of overlapping ones every other. The row of a contracted pair goes; the next row takes its place.
-#: Pieces without a pair take no part in further rounds.
+#: ``often``: whether some pair may stand in the piece ``OFTEN`` times or more.
+#: A round finds each piece's leftmost pair of least rank and contracts it, and with it, where the pair is safe and the piece
+#: has pairs that often, its other occurrences; in a run of overlapping ones every other. The row of a contracted pair goes;
+#: the next row takes its place. Rows of pieces without a pair are ``done``: they are what the query returns.
 _CONTRACT_SQL = """
 CREATE OR REPLACE TEMP TABLE after AS
 WITH RECURSIVE t AS (
-  SELECT 0::INT AS round, pid, pos, npos, l, r, rk, twice FROM state
+  SELECT pid, pos, npos, l, r, rk, often, false AS done FROM state
   UNION ALL
   (WITH b AS (
-     SELECT pid, min(rk) AS m, min((rk::BIGINT << 32) + pos) & 4294967295 AS p, arg_min(npos, (rk::BIGINT << 32) + pos) AS dead
+     SELECT pid, min(rk) AS m, (min((rk::BIGINT << 32) + pos) & 4294967295)::INT AS p, arg_min(npos, (rk::BIGINT << 32) + pos) AS dead
      FROM t WHERE rk IS NOT NULL GROUP BY pid),
-   h AS (SELECT t.pid, t.pos, t.npos, m, p, dead FROM t JOIN b ON b.pid = t.pid AND m = rk WHERE twice AND pos <> p AND m % 2 = 0),
+   h AS (SELECT t.pid, t.pos, t.npos, m, p, dead FROM t JOIN b ON b.pid = t.pid AND m = rk WHERE often AND pos <> p AND m % 2 = 0),
    e AS (
      SELECT pos, npos, m // 2 AS tok FROM (
        SELECT *, (n - max(CASE WHEN first THEN n END) OVER (PARTITION BY pid ORDER BY pos)) % 2 = 0 AS hit FROM (
@@ -56,19 +57,19 @@ WITH RECURSIVE t AS (
          WINDOW w AS (PARTITION BY pid ORDER BY pos)))
      WHERE hit AND pos <> p),
    n AS (
-     SELECT t.round + 1 AS round, t.pid, t.npos, t.twice,
-       CASE WHEN t.pos = dead THEN p::INT ELSE coalesce(x.pos, t.pos) END AS pos,
+     SELECT t.pid, t.npos, t.often,
+       CASE WHEN t.pos = dead THEN p ELSE coalesce(x.pos, t.pos) END AS pos,
        CASE WHEN t.pos = dead THEN m // 2 ELSE coalesce(x.tok, t.l) END AS l,
-       CASE WHEN t.npos = p THEN m // 2 ELSE coalesce(y.tok, t.r) END AS r
-     FROM t JOIN b USING (pid) LEFT JOIN e x ON x.npos = t.pos LEFT JOIN e y ON y.pos = t.npos
-     WHERE t.twice AND t.round < {rounds} AND t.pos <> p AND NOT EXISTS (FROM e WHERE e.pos = t.pos)
+       CASE WHEN t.npos = p THEN m // 2 ELSE coalesce(y.tok, t.r) END AS r, m IS NULL AS done
+     FROM t LEFT JOIN b USING (pid) LEFT JOIN e x ON x.npos = t.pos LEFT JOIN e y ON y.pos = t.npos LEFT JOIN e z ON z.pos = t.pos
+     WHERE t.often AND NOT t.done AND t.pos IS DISTINCT FROM p AND z.pos IS NULL
      UNION ALL
-     SELECT t.round + 1, t.pid, t.npos, t.twice, CASE WHEN t.pos = dead THEN p::INT ELSE t.pos END,
-       CASE WHEN t.pos = dead THEN m // 2 ELSE t.l END, CASE WHEN t.npos = p THEN m // 2 ELSE t.r END
-     FROM t JOIN b USING (pid) WHERE NOT t.twice AND t.round < {rounds} AND t.pos <> p)
-   SELECT n.round, n.pid, n.pos, n.npos, n.l, n.r, g.rk, n.twice FROM n LEFT JOIN merges g ON g.k = (n.l::BIGINT << 32) + n.r)
-), last AS (SELECT pid, max(round) AS round FROM t GROUP BY pid)
-SELECT pid, pos, npos, l, r, rk, twice FROM t JOIN last USING (pid, round)
+     SELECT t.pid, t.npos, t.often, CASE WHEN t.pos = dead THEN p ELSE t.pos END,
+       CASE WHEN t.pos = dead THEN m // 2 ELSE t.l END, CASE WHEN t.npos = p THEN m // 2 ELSE t.r END, m IS NULL
+     FROM t LEFT JOIN b USING (pid) WHERE NOT t.often AND NOT t.done AND t.pos IS DISTINCT FROM p)
+   SELECT n.pid, n.pos, n.npos, n.l, n.r, g.rk, n.often, n.done FROM n LEFT JOIN merges g ON g.k = (n.l::BIGINT << 32) + n.r)
+)
+SELECT pid, pos, npos, l, r, rk, often FROM t WHERE done
 """
 #: What each piece has become, from its token rows in order: its ids, and the bytes that they decode to.
 _UNITS_SQL = """
@@ -110,15 +111,15 @@ def merge_rows(ranks: dict[bytes, int]) -> dict[str, np.ndarray]:
 
 
 class Codec:
-    """Merge table, vocabulary and remembered pieces of one Python worker."""
+    """Merge table, vocabulary and remembered pieces of one Python worker; ``history``: bytes of pieces in one recursive query, ``BLOCK`` if not given."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, history: int = HISTORY, merges: dict[str, np.ndarray] | None = None, cache: int | None = None):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, history: int | None = None, merges: dict[str, np.ndarray] | None = None, cache: int | None = None):
         import duckdb
         import regex
 
-        self.ranks, self.find, self.history = ranks, regex.compile(pattern).findall, history
+        self.ranks, self.find, self.block = ranks, regex.compile(pattern).findall, history or BLOCK
         self.cache = cache
-        # No folder for spills: what a query holds is bounded by ``history`` and by the blocks that it is asked for.
+        # No folder for spills: what a query holds is bounded by the blocks that it is asked for.
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
         self._table("merges", {k: pa.array(v) for k, v in (merges or merge_rows(ranks)).items()})
         self._table("vocab", {"id": pa.array(list(ranks.values()), pa.int32()), "hex": [b.hex() for b in ranks]})
@@ -163,18 +164,15 @@ class Codec:
         nxt = np.append(tok[1:], -1).astype(np.int32)
         nxt[np.cumsum(size) - 1] = -1
         pos, pid = np.arange(len(tok), dtype=np.int32), np.repeat(np.arange(len(pieces), dtype=np.int32), size)
-        # A pair can stand twice in a piece only if the two bytes where its halves meet do.
+        # A pair can stand so often in a piece only if the two bytes where its halves meet do.
         pairs = np.sort(((pid[:-1].astype(np.int64) << 32) + tok[:-1].astype(np.int64) * 65536 + tok[1:])[nxt[:-1] >= 0])
-        twice = np.zeros(len(pieces), bool)
-        twice[pairs[1:][pairs[1:] == pairs[:-1]] >> 32] = True
-        start = pa.table({"pid": pid, "twice": twice[pid], "pos": pos, "npos": pos + np.int32(1), "l": tok, "r": nxt, "k": (tok.astype(np.int64) << 32) + nxt})
+        often = np.zeros(len(pieces), bool)
+        often[pairs[OFTEN - 1 :][pairs[OFTEN - 1 :] == pairs[: 1 - OFTEN]] >> 32] = True
+        start = pa.table({"pid": pid, "often": often[pid], "pos": pos, "npos": pos + np.int32(1), "l": tok, "r": nxt, "k": (tok.astype(np.int64) << 32) + nxt})
         self._with(start, "start", "CREATE OR REPLACE TEMP TABLE state AS SELECT s.* EXCLUDE (k), g.rk FROM start s LEFT JOIN merges g USING (k)")
-        while True:
-            self.db.execute(_CONTRACT_SQL.format(rounds=max(8, self.history // len(tok))))
-            self.db.execute("DROP TABLE state")
-            self.db.execute("ALTER TABLE after RENAME TO state")
-            if not self.db.execute("SELECT count(rk) FROM state").fetchall()[0][0]:
-                break
+        self.db.execute(_CONTRACT_SQL)
+        self.db.execute("DROP TABLE state")
+        self.db.execute("ALTER TABLE after RENAME TO state")
 
     def _learn(self, pieces: set[str]) -> None:
         """New pieces get codes, ids, and bytes, which are those ids decoded again."""
@@ -191,7 +189,7 @@ class Codec:
         parts.sort(key=lambda x: len(x[1]))
         while parts:
             block, size = [], 0
-            while parts and size < BLOCK:
+            while parts and size < self.block:
                 block.append(parts.pop())
                 size += len(block[-1][1])
             self.contract([b for _, b in block])

@@ -675,3 +675,34 @@ def test_bpe_memory_by_codec():
         got = [c.digests(*c.coded([" ".join(f"piece{chr(97 + k)}{j}" for j in range(5)) for k in range(a, a + 5)])) for a in (0, 5, 10, 0)]
         assert got[0] == got[3]
     assert len(learnt[200]) == len(set(learnt[200])) < len(learnt[20])
+
+
+def test_bpe_one_query_a_block():
+    """A block of pieces is contracted by one recursive query, however many rounds they take; only pieces with pairs that stand
+    in them often have all their places looked for at once."""
+    import random
+
+    codec = bpe.Codec(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    asked = []
+
+    class Spy:
+        def __init__(self, db):
+            self.db = db
+
+        def __getattr__(self, name):
+            return getattr(self.db, name)
+
+        def execute(self, sql):
+            asked.append(sql)
+            return self.db.execute(sql)
+
+    codec.db = Spy(codec.db)
+    words = sorted({f"mentement{a}{b}{c}qz" for a in "abcdefghijklmnopqrst" for b in "bcdfghjklmnpqrstvwxyz" for c in "aeiouvwxyz"})
+    words += ["qxj" * 40, "anananabanana" * 9, "e" * 301, "".join(random.Random(5).choices("abcdefghijklmnopqrstuvwxyz", k=400))]
+    pieces = [w.encode() for w in words]
+    codec.contract(pieces)
+    assert sum("RECURSIVE" in sql for sql in asked) == 1
+    got = dict(codec.db.execute("SELECT pid, list(l ORDER BY pos) FROM state GROUP BY pid").fetchall())
+    assert [got[k] for k in range(len(words))] == [ENCODING.encode_ordinary(w) for w in words]
+    often = {k for (k,) in codec.db.execute("SELECT DISTINCT pid FROM state WHERE often").fetchall()}
+    assert often == {k for k, w in enumerate(words) if max(sum(w[i : i + 2] == w[j : j + 2] for i in range(len(w) - 1)) for j in range(len(w) - 1)) >= bpe.OFTEN}
