@@ -10,7 +10,8 @@ window whose word sequence also starts in a document of smaller id; windows are
    seventeen words) and dealt by anchor. A bit table of fixed greatest size filters anchors before that; where it lets
    too many pass, more fragments travel, and results stay the same.
 3. Automata. Each task takes the fragments of its anchors in order, confirms the windows that occur in two documents,
-   compiles them into automata of word sequences, and streams the fragments through those: each different fragment once.
+   compiles them into automata of word sequences, and streams the fragments of anchors that have any through those: each
+   different fragment once.
 4. What a fragment was found to hold is joined to the places where it occurs, and the covered words are removed.
 
 Hashes only propose: windows are confirmed and matched as words, and a fragment is known by 128 bits.
@@ -88,19 +89,23 @@ def fragment(raw: bytes, start: np.ndarray, end: np.ndarray, first: int, words:
 def _seen(table: np.ndarray | None, h: np.ndarray) -> np.ndarray:
     if table is None:
         return np.ones(len(h), bool)
-    bit = h & np.uint64(len(table) * 8 - 1)
-    return (table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    out = np.ones(len(h), bool)
+    for half in (h, h >> np.uint64(32)):
+        bit = half & np.uint64(len(table) * 8 - 1)
+        out &= (table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
 
 
 def _bit_table(shared: DataFrame, n: int) -> np.ndarray | None:
-    """One bit for each shared anchor, at most ``FILTER_BITS``; none if it would be too full to be of use."""
+    """Two bits for each shared anchor, by either half of it, in at most ``FILTER_BITS``; none if those would be too full to be of use."""
     bits = 1 << 16
     while bits < 32 * n and bits < FILTER_BITS:
         bits *= 2
     if n > bits:
         return None
     size = 1 << 16
-    bit = F.col("anchor").bitwiseAND(F.lit(bits - 1))
+    halves = F.array(F.col("anchor"), F.shiftrightunsigned("anchor", 32))
+    bit = F.col("half").bitwiseAND(F.lit(bits - 1))
 
     def run(batches):
         tables: dict[int, np.ndarray] = {}
@@ -113,7 +118,7 @@ def _bit_table(shared: DataFrame, n: int) -> np.ndarray | None:
         for c, t in tables.items():
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([t.tobytes()], pa.binary())], ["chunk", "t"])
 
-    dealt = shared.select(F.shiftright(bit, 16).alias("chunk"), (bit % size).alias("bit")).repartition("chunk")
+    dealt = shared.select(F.explode(halves).alias("half")).select(F.shiftright(bit, 16).alias("chunk"), (bit % size).alias("bit")).repartition("chunk")
     table = np.zeros(bits // 8, np.uint8)
     for r in dealt.mapInArrow(run, "chunk long, t binary").toLocalIterator():  # each chunk once: at most FILTER_BITS together
         table[r.chunk * (size // 8) : (r.chunk + 1) * (size // 8)] = np.frombuffer(r.t, np.uint8)
@@ -208,6 +213,27 @@ def locate(frags: list[bytes], passages: list[tuple[list[bytes], int]], n: int =
     return out
 
 
+def shards(rows):
+    """Fragments, their anchors and the passages of their automaton, from ``anchor, frag, lo, hi`` in order of anchor.
+
+    All windows of a fragment have its anchor, so a fragment goes in only if its anchor has a confirmed window.
+    """
+    frags, keys, passages = [], [], []
+    for anchor, group in groupby(rows, key=lambda r: r[0]):
+        merged: dict[bytes, list[int]] = {}
+        for _, f, lo, hi in group:
+            old = merged.setdefault(f, [lo, hi])
+            old[0], old[1] = min(old[0], lo), max(old[1], hi)
+        if repeated := confirmed(merged):
+            frags += merged
+            keys += [anchor] * len(merged)
+            passages += repeated
+        if len(frags) + len(passages) >= SHARD:
+            yield frags, keys, passages
+            frags, keys, passages = [], [], []
+    yield frags, keys, passages
+
+
 def _holdings(fragments: DataFrame) -> DataFrame:
     """``anchor, fh, least``: what each fragment with a repeated window holds."""
 
@@ -215,23 +241,8 @@ def _holdings(fragments: DataFrame) -> DataFrame:
         for b in batches:
             yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
-    def shards(batches):
-        frags, keys, passages = [], [], []
-        for anchor, group in groupby(rows(batches), key=lambda r: r[0]):
-            merged: dict[bytes, list[int]] = {}
-            for _, f, lo, hi in group:
-                old = merged.setdefault(f, [lo, hi])
-                old[0], old[1] = min(old[0], lo), max(old[1], hi)
-            frags += merged
-            keys += [anchor] * len(merged)
-            passages += confirmed(merged)
-            if len(frags) + len(passages) >= SHARD:
-                yield frags, keys, passages
-                frags, keys, passages = [], [], []
-        yield frags, keys, passages
-
     def run(batches):
-        for frags, keys, passages in shards(batches):
+        for frags, keys, passages in shards(rows(batches)):
             found = [(a, xxhash.xxh64_intdigest(f), x) for a, f, x in zip(keys, frags, locate(frags, passages), strict=True) if x]
             if found:
                 a, fh, least = zip(*found, strict=True)

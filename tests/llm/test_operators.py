@@ -370,6 +370,21 @@ def test_phrases_without_filter_or_broadcast(documents, monkeypatch):
     assert multiset(tuple(r) for r in phrases.dedup(documents).collect()) == multiset(brute_dedup(texts_of(documents)))
 
 
+def test_phrases_automata_get_only_what_they_may_find(spark):
+    """Fragments whose anchor has no repeated window go through no automaton, and the bit table lets few other anchors pass."""
+    words = [b"w%d" % k for k in range(40)]
+    frag = lambda *parts: b" ".join(w for p in parts for w in words[p])
+    rows = [(1, frag(slice(0, 14)), 4, 4), (1, frag(slice(8, 22)), 5, 5), (2, frag(slice(20, 34)), 6, 6), (3, frag(slice(3, 17)), 1, 9), (4, frag(slice(0, 14)), 2, 2), (4, frag(slice(0, 13), slice(30, 32)), 3, 3)]
+    ((frags, keys, passages),) = phrases.shards(iter(rows))
+    assert (keys, frags) == ([3, 4, 4], [r[1] for r in rows[3:]])
+    assert phrases.locate(frags, passages) == [[1, 1], [2, None], [2, None, None]]
+    r = np.random.default_rng(1)
+    shared, others = (r.integers(-(1 << 63), 1 << 63, 20_000, np.int64) for _ in range(2))
+    table = phrases._bit_table(spark.createDataFrame([(x,) for x in shared.tolist()], "anchor long"), len(shared))
+    assert phrases._seen(table, shared.view(np.uint64)).all() and phrases._seen(table, others.view(np.uint64)).mean() < 0.005
+
+
+
 # --- 7 quality
 
 
